@@ -48,7 +48,7 @@ def top_of_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
         own = c_ids[None, :] == ids[:, None]
         if exact and bound < 2**62 / (2 * n + 2):
             rank = s.astype(np.int64) * n + (n - 1 - np.arange(n))[None, :]  # unique: ties go to the smaller id
-            rank[own] = np.iinfo(np.int64).min
+            rank[own] = np.iinfo(np.int64).min + 1
             m = min(k, n)
             best = np.argpartition(-rank, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(ids), 1))
             take = ~np.take_along_axis(own, best, axis=1)

@@ -9,6 +9,7 @@ empty address by its bias alone. Repeated rows are judged alike. An empty table
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -140,7 +141,7 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None, dims: int = 2048
 
 
 def blocked_probability(host: Column, path: Column, model: UrlModel) -> Column:
-    weights = F.lit(model.weights)
+    weights = F.from_json(F.lit(json.dumps(model.weights)), "array<double>")
     grams = gram_buckets(host, path, len(model.weights), model.lengths)
     total = F.aggregate(grams, F.lit(0.0), lambda acc, i: acc + F.get(weights, i))
     return 1.0 / (1.0 + F.exp(-(total / F.size(grams).cast("double") + F.lit(model.bias))))

@@ -48,15 +48,16 @@ def _clean() -> None:
             return
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, rows_per_bucket: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, rows_per_bucket: int = 4096, buckets: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in ``name``.
 
     The rows of a key are dealt into hashed buckets, each bucket is numbered by itself and starts where the
     earlier ones of its key end, so that no task holds a whole key. Equal rows may swap numbers.
+    ``buckets``: how many a row's key is dealt into, where the keys' sizes are known; otherwise all have as many.
     ``df`` is evaluated three times (give it a table that is cheap to read); keys may be null."""
-    total = df.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-total // rows_per_bucket)))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    if buckets is None:
+        buckets = F.lit(min(MAX_BUCKETS, max(1, -(-df.count() // rows_per_bucket))))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets))
     starts = (
         dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), "_n")

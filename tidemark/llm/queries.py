@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, sharding, tokens, topk, url_filter
+from tidemark.llm import mixing, near_vectors, packing, sharding, tokens, topk, url_filter
 from tidemark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents, spans).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -70,6 +74,7 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_near_vectors": op2_near_vectors,
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
         "op5_url_filter": op5_url_filter,

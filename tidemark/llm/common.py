@@ -114,3 +114,47 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def whole_runs(batches, keys: list[str]):
+    """Arrow tables of the stream ``batches`` (dealt by ``keys`` and sorted by them) in which no run of equal keys
+    is broken: what a batch ends with waits for the next."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    waiting: list = []
+
+    def ends(t):
+        return [t.column(k)[t.num_rows - 1] for k in keys]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if waiting and ends(waiting[-1]) == ends(t):
+            waiting.append(t)
+            continue
+        same = None
+        for k in keys:
+            x = pc.equal(t.column(k), t.column(k)[t.num_rows - 1])
+            same = x if same is None else pc.and_(same, x)
+        cut_at = pc.index(same, True).as_py()  # sorted: the last run begins where its keys first stand
+        head = pa.concat_tables([*waiting, t.slice(0, cut_at)]) if waiting or cut_at else None
+        if head is not None and head.num_rows:
+            yield head.combine_chunks()
+        waiting = [t.slice(cut_at)]
+    if waiting:
+        yield pa.concat_tables(waiting).combine_chunks()
+
+
+def settle(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each id reaches. ``members``: (id, cls) with cls one of the class's
+    ids; ``edges``: (a, b) between classes. An id in several classes joins them."""
+    of = components(edges, "a", "b")
+    found = members.join(of, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("component", "cls").alias("comp")).distinct()
+    found = cut(found)
+    several = found.groupBy("id").agg(F.count("*").alias("c"), F.min("comp").alias("low")).where("c > 1")
+    bridges = components(found.join(several, "id").select("comp", "low"), "comp", "low")
+    found = found.join(bridges, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("component", "comp").alias("comp")).distinct()
+    least = found.groupBy("comp").agg(F.min("id").alias("component"))
+    return found.join(least, "comp").select("id", "component")

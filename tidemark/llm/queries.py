@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, near_vectors, packing, sharding, tokens, topk, url_filter
+from tidemark.llm import mixing, near_texts, near_vectors, packing, sharding, tokens, topk, url_filter
 from tidemark.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op10_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op8_topk": op8_topk,
         "op9_token_counts": op9_token_counts,
+        "op10_near_texts": op10_near_texts,
     }
 
 

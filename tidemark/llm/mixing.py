@@ -153,7 +153,7 @@ def plan(goals: DataFrame, block: int, per_shard: int, seed: int) -> tuple[DataF
                 place = np.random.default_rng([seed, 7, int(shard)]).permutation(n)
                 yield pd.DataFrame({"sid": sid.astype(np.int32), "block": index, "epoch": epoch, "shard": np.full(n, shard), "place": place, "words": words})
 
-    grid = spark.range(0, shards, 1, min(shards, 2000) if shards > 1 else 1)
+    grid = spark.range(0, shards, 1, -(-shards // 16))
     return grid.mapInPandas(draw, "sid int, block long, epoch long, shard long, place long, words long"), shards
 
 
@@ -181,7 +181,8 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", order: list
     narrow = cut(narrow)
     goals = cut(targets(narrow, "_source", "_size", weights, share, most).withColumn(
         "sid", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))) - 1).cast("int")))
-    keyed = narrow.join(goals, F.col("_source").eqNullSafe(F.col("source")), "left").drop("_source", "source", "weight")
+    of = goals.select(F.col("source").alias("_goal"), "source_size", "target", "sid")
+    keyed = narrow.join(of, F.col("_source").eqNullSafe(F.col("_goal")), "left").drop("_source", "_goal")
     placed = numbered(cut(keyed), ["sid"], [F.col(x) for x in order] + [F.col("_size")], "nth")
     # the running sum of sizes within a source, by the same buckets as the numbers: 4,096 rows each
     placed = cut(placed.withColumns({"_bin": F.floor(F.col("nth") / 4096)}))
@@ -199,7 +200,7 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", order: list
     pieces = pieces.select("sid", "block", "row", (begin - F.col("_at")).alias("start"), (end - begin).alias("length"), (begin - F.col("block") * block).alias("offset"))
     slots, _ = plan(goals, block, per_shard, seed)
     spans = (
-        pieces.join(slots, ["sid", "block"])
+        pieces.join(slots.hint("merge"), ["sid", "block"])  # both sides grow with the input
         .withColumn("length", F.least(F.col("length"), F.col("words") - F.col("offset"))).where("length > 0")
         .select("sid", "row", "epoch", "shard", "place", "offset", "start", "length")
     )
@@ -210,3 +211,27 @@ def taken(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """``documents`` with taken: the words of each that the mix takes, repeats counted."""
     per = spans.groupBy("sid", "row").agg(F.sum("length").alias("taken"))
     return documents.join(per, ["sid", "row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents: one row per document and pass over its source, with the words that the pass takes.
+    A text that is taken whole stays as it is; of others the taken words follow each other with single blanks.
+    The columns of ``docs`` are kept, ``n_chars`` is counted again. Repeated rows are taken as often as they stand."""
+    same = [doc_id, source, "_crc"]
+    keyed = docs.withColumn("_crc", F.crc32(F.coalesce(text, F.lit(""))))
+    documents, spans = mix(keyed.select(*same, n_words(F.col(text)).alias("_words")), source, "_words", order=[doc_id, "_crc"], carry=[source], **options)
+    takes = spans.groupBy("sid", "row", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))  # of one document
+    takes = takes.join(documents.select("sid", "row", "size", doc_id, source, "_crc"), ["sid", "row"])
+    takes = takes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(same)], F.col("size").alias("_size"), "_spans")
+    on = None
+    for i, c in enumerate(same):
+        x = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        on = x if on is None else on & x
+    rows = keyed.dropDuplicates(same).join(takes, on)
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_all", (s["start"] + 1).cast("int"), s["length"].cast("int")))), " ")
+    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]) == F.col("_size")
+    rows = rows.withColumn("_all", F.when(~whole, words)).withColumn(text, F.when(whole, F.col(text)).otherwise(some))
+    if n_chars in docs.columns:
+        rows = rows.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
+    return rows.select(*docs.columns)

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, near_texts, near_vectors, packing, sharding, tokens, topk, url_filter
+from tidemark.llm import mixing, near_texts, near_vectors, packing, quality, sharding, tokens, topk, toxicity, url_filter
 from tidemark.llm.common import table
+from tidemark.llm.labelled import held_out
+
+#: From these scores on, a text counts as good, or as toxic.
+QUALITY_AT, TOXIC_AT = 0.3, 0.5
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "blocked")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.to_integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
     return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
@@ -82,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_sharding": op4_sharding,
         "op5_url_filter": op5_url_filter,
+        "op6_quality": op6_quality,
+        "op7_toxicity": op7_toxicity,
         "op8_topk": op8_topk,
         "op9_token_counts": op9_token_counts,
         "op10_near_texts": op10_near_texts,

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +159,21 @@ def settle(members: DataFrame, edges: DataFrame) -> DataFrame:
     found = found.join(bridges, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("component", "comp").alias("comp")).distinct()
     least = found.groupBy("comp").agg(F.min("id").alias("component"))
     return found.join(least, "comp").select("id", "component")
+
+
+def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (least positions) after uniting the pairs (a, b)."""
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        live = low < high
+        if not live.any():
+            break
+        np.minimum.at(parent, high[live], low[live])
+        while True:
+            nxt = parent[parent]
+            if (nxt == parent).all():
+                break
+            parent = nxt
+        a, b = a[live], b[live]
+    return parent

@@ -8,9 +8,10 @@ pairs with a similarity of 0.75, 0.2 % differ in more places; of more similar pa
 class throughout.
 
 Buckets are compared in tiles of bounded size, whatever a bucket's size. First every class takes the smallest
-class that it meets within the signature distance; these pairs are confirmed on full sets and united. Then all
-pairs that met and are still in different components are confirmed. So a group of n near copies costs about n
-confirmations, and no pair that could join two components is left out.
+class that it meets within the signature distance; these pairs are confirmed on full sets and united. Then what
+met and is still in different components forms families, whose members are compared in tiles on full sets. So a
+group of n near copies costs about n confirmations, no pairs are listed, and none that could join two components
+is left out.
 
 Texts that are null, empty or blank have an empty set and link with nothing. Rows with a null id have no
 component and are kept. Rows that share an id are one node. An empty table gives an empty one."""
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, settle, whole_runs
+from tidemark.llm.common import components, cut, settle, union, whole_runs
 from tidemark.llm.mixing import _mix64
 from tidemark.llm.tokens import _Kept
 
 HASHES, CHUNKS = 32, 8
 ROWS = HASHES // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
-TILE = 2048
+TILE, FAMILY_TILE = 2048, 512
 
 _rng = np.random.default_rng(2_718_281)
 _FACTORS = _rng.integers(0, 2**64, HASHES, dtype=np.uint64, endpoint=False) | np.uint64(1)
@@ -177,8 +178,8 @@ def crossed(group: np.ndarray, side: np.ndarray, starts: np.ndarray, ends: np.nd
 
 def meet(tiled: DataFrame, apart: bool) -> DataFrame:
     """Pairs (a >= b) of classes that meet in a tile within the signature distance: of each class a that meets
-    any, only that with the smallest b it meets, itself included; or, ``apart``, all pairs (a > b) whose
-    components (column comp) differ."""
+    any, only that with the smallest b it meets, itself included; or, ``apart``, edges (a > b) that connect what
+    meets across components (column comp), at most one for each row of a tile."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     keys = ["key", "x", "y"]
 
@@ -190,10 +191,15 @@ def meet(tiled: DataFrame, apart: bool) -> DataFrame:
             cls, found = column["cls"], []
             for i, j in _pairs(np.cumsum(new), column["side"], column["n"], low, column.get("comp")):
                 if len(i):
-                    found.append((np.maximum(cls[i], cls[j]), np.minimum(cls[i], cls[j])))
+                    found.append((i, j))
             if not found:
                 continue
-            a, b = (np.concatenate(x) for x in zip(*found))
+            i, j = (np.concatenate(x) for x in zip(*found))
+            if apart:
+                root = union(np.arange(len(cls)), i, j)
+                i = np.flatnonzero(root != np.arange(len(cls)))
+                j = root[i]
+            a, b = np.maximum(cls[i], cls[j]), np.minimum(cls[i], cls[j])
             if not apart:
                 a, b = np.concatenate([a, b]), np.concatenate([b, b])
             order = np.lexsort((b, a))
@@ -206,6 +212,58 @@ def meet(tiled: DataFrame, apart: bool) -> DataFrame:
     return pairs.where("a <> b").distinct() if apart else pairs.groupBy("a").agg(F.min("b").alias("b"))
 
 
+def confirm_families(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between different components within families: ``members`` are (fam, cls, comp, low, text). A
+    family's members are compared in tiles of FAMILY_TILE by FAMILY_TILE, those within the signature distance on
+    their full sets; of a tile's links only those that unite its components are returned."""
+    sized = members.join(members.groupBy("fam").agg(F.ceil(F.count("*") / FAMILY_TILE).cast("int").alias("parts")), "fam")
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = sized.select("fam", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp", "low", "text")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    keys = ["fam", "x", "y"]
+
+    def links(cls: np.ndarray, comp: np.ndarray, side: np.ndarray, low: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        parent, out = {c: c for c in comp.tolist()}, []
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        n = np.array([len(s) for s in sets], np.int64)
+        two, at = bool(side.any()), np.arange(len(cls))
+        for i in np.flatnonzero(side == 0) if two else at:
+            others = at[side == 1] if two else at[i + 1 :]
+            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+            others = others[(low[others] != low[i]).sum(axis=1) <= DISTANCE]
+            own = root(int(comp[i]))
+            others = others[[root(int(c)) != own for c in comp[others]]] if len(others) else others
+            if not len(others) or not n[i]:
+                continue
+            every = np.concatenate([sets[j] for j in others])
+            place = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
+            both = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.cumsum(np.concatenate([[0], n[others][:-1]])))
+            for j in others[100 * both >= percent * (n[i] + n[others] - both)]:
+                p, q = root(int(comp[i])), root(int(comp[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(max(cls[i], cls[j])), int(min(cls[i], cls[j]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, keys):
+            new = np.concatenate([[True], np.any([t.column(k).to_numpy()[1:] != t.column(k).to_numpy()[:-1] for k in keys], axis=0)])
+            cls, comp, side = (t.column(c).to_numpy() for c in ("cls", "comp", "side"))
+            low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
+            starts, found = np.flatnonzero(new), []
+            for a, b in zip(starts, np.append(starts[1:], len(cls))):
+                sets = [shingle_hashes(x, width) for x in t.column("text").slice(a, b - a).to_pylist()]
+                found += links(cls[a:b], comp[a:b], side[a:b], low[a:b], sets)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_group: int = 64) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``texts``: (id, text) of all their classes. Each b
     meets its partners in groups of about ``per_group``."""
@@ -250,7 +308,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     heads = classes.select(F.col("cls").alias("id"), "cls").distinct()
     comp = cut(settle(heads, links))
     labelled = tiled.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("comp")), "cls").join(wanted.select(F.col("id").alias("cls")), "cls", "left_semi")
-    more = cut(confirm(cut(meet(labelled, apart=True)), texts, width, percent))
+    families = components(meet(labelled, apart=True), "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("fam"))
+    lows = tiled.join(families, "cls").groupBy("fam", "cls").agg(F.min("low").alias("low"))
+    members = cut(lows.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("comp")), "cls"))
+    members = members.join(texts.withColumnRenamed("id", "cls"), "cls")
+    more = cut(confirm_families(members, percent, width))
     member = real.select("id", "set").distinct().join(classes.select("set", "cls"), "set").select("id", "cls")
     out = settle(cut(member), links.unionAll(more))
     return signed.select("id", "n_shingles").join(out, "id", "left").select(

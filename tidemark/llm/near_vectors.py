@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut
+from tidemark.llm.common import components, cut, union
 
 BLOCK, TILE = 512, 1024
 
@@ -38,24 +38,6 @@ def unit(rows: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Roots (least positions) after uniting the pairs (a, b)."""
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        live = low < high
-        if not live.any():
-            break
-        np.minimum.at(parent, high[live], low[live])
-        while True:
-            nxt = parent[parent]
-            if (nxt == parent).all():
-                break
-            parent = nxt
-        a, b = a[live], b[live]
-    return parent
-
-
 def _hash_bits(dim: int, seed: int, bits: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits))
 
@@ -86,7 +68,7 @@ def passes(vectors: DataFrame, threshold: float, n_passes: int, window: int, see
         part = part.sort_values("at", kind="stable")
         ids, u = part["rep"].to_numpy(), unit(part["v"])
         a, b = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-        root = _union(np.arange(len(ids)), a, b)
+        root = union(np.arange(len(ids)), a, b)
         linked = root != np.arange(len(ids))
         return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
 

@@ -92,7 +92,8 @@ def numbered_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataF
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(rep, n_links): by how many vectors, copies counted by their weight ``n``, each representative is linked
     within its component. ``members``: (rep, comp, v, n). Tiles of TILE by TILE, so a component of any size is spread."""
-    sized = members.withColumn("_tiles", F.ceil(F.count("*").over(Window.partitionBy("comp")) / TILE).cast("int"))
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    sized = members.join(sizes, "comp")
     sized = sized.withColumn("_tile", F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int"))
     left = sized.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     rows = left.select("comp", F.col("_tile").alias("x"), F.col("_other").alias("y"), F.lit(True).alias("own"), "rep", "v", "n").unionByName(

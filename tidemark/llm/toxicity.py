@@ -38,7 +38,7 @@ from tidemark.llm.labelled import sample
 
 ORDER, DECAY, WIDTH, STRIDE = 4, 0.8, 12, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 32
-MAX_TEXTS, MAX_CHARS, MAX_LABELLED, MAX_UNITS = 1_000, 4_000, 20_000, 60_000
+MAX_TEXTS, MAX_CHARS, MAX_LABELLED, MAX_UNITS = 1_000, 4_000, 20_000, 25_000
 WITNESSES = 6
 
 _APART = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -88,13 +88,13 @@ def norms(codes: np.ndarray) -> np.ndarray:
     return total
 
 
-def by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, codes) of the units of each length that has subsequences, a few thousand at a time."""
+def by_length(units: list[str], step: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, codes) of the units of each length that has subsequences, ``step`` at a time."""
     lengths = np.array([len(u) for u in units])
     for n in range(ORDER, WIDTH + 1):
         where = np.flatnonzero(lengths == n)
-        for at in range(0, len(where), 2000):
-            part = where[at : at + 2000]
+        for at in range(0, len(where), step):
+            part = where[at : at + step]
             yield part, _codes([units[i] for i in part])
 
 
@@ -140,7 +140,7 @@ class Landmarks:
     def kernel(self, units: list[str]) -> np.ndarray:
         """Normalised kernel values: units x landmarks (0 for units shorter than ORDER)."""
         out = np.zeros((len(units), len(self.units)))
-        for where, codes in by_length(units):
+        for where, codes in by_length(units, 200):
             at, w = _places(codes.shape[1])
             entry = self.index[self.keys(codes, at)]
             size = len(self.entries) + 1
@@ -218,7 +218,7 @@ class Reader:
 
 def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps; weights ``c`` of the rows."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x1.shape[1])
     c = c / c.sum()
     eye = np.eye(len(w)) * ridge
@@ -288,14 +288,16 @@ def fit_units(toxic: list[str], other: list[str]) -> ToxicityModel | None:
     k = marks.kernel(units)
     value, vector = np.linalg.eigh(marks.kernel(marks.units))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    x = k @ root
+    x = (k @ root).astype(np.float32)
+    del k
     pos = np.array([seen[0][u] / n_t for u in units])
     neg = np.array([seen[1][u] / n_o for u in units])
     for turn in range(4):
         y = np.concatenate([np.ones(len(units)), -np.ones(len(units))])
         c = np.concatenate([pos / max(pos.sum(), 1e-12), neg / max(neg.sum(), 1e-12) * (1 if turn == 0 else 4)])
         use = c > 0
-        w, bias = svm(np.vstack([x, x])[use], y[use], c[use])
+        rows = np.flatnonzero(use)
+        w, bias = svm(x[rows % len(units)], y[rows], c[rows])
         f = x @ w + bias
         pos = np.zeros(len(units))
         for s in sets[0]:

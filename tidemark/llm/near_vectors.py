@@ -77,16 +77,15 @@ def passes(vectors: DataFrame, threshold: float, n_passes: int, window: int, see
 
 
 def numbered_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``at``: each row's place in its key's order, from 0. The order's first column is a number whose leading
-    bits deal a key into ranges, so that no task sorts a whole key; skewed ranges only make a task longer."""
-    total = df.count()
-    bits = max(0, min(20, int(total // 4096).bit_length()))
-    ranged = df.withColumn("_range", F.shiftright(order[0], 63 - bits) if bits else F.lit(0).cast("long"))
-    starts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    """``at``: each row's place in its key's order, from 0. The rows are dealt by ranges of the whole order, so
+    however many share a key or a code, none of their tasks is larger; each range's part of a key is contiguous
+    and starts where the earlier ranges' parts end."""
+    ranged = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_m", 33))
+    parts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    row = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
-    return ranged.withColumn("_row", row).join(starts, [*keys, "_range"]).withColumn("at", F.col("_start") + F.col("_row")).drop("_row", "_start", "_range")
+    parts = parts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
+    return ranged.join(parts, [*keys, "_range"]).withColumn("at", F.col("_start") + F.col("_m")).drop("_m", "_start", "_range")
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tidemark.plans import more, registry  # noqa: F401
+from tidemark.plans import more, pipelines, registry  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 

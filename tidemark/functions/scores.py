@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,7 +65,8 @@ EXTENSIONS = {
 
 
 def any_in(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    """Whether the text contains one of the words: one alternation, which keeps expressions small."""
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def value_class(v: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import components, cut, settle, union, whole_runs
+from tidemark.llm.common import components, cut, give_back, settle, union, whole_runs
 from tidemark.llm.mixing import _mix64
 from tidemark.llm.tokens import _Kept
 
@@ -41,7 +41,7 @@ _FACTORS = _rng.integers(0, 2**64, HASHES, dtype=np.uint64, endpoint=False) | np
 _SHIFTS = _rng.integers(0, 2**64, HASHES, dtype=np.uint64, endpoint=False)
 _PLACES = _rng.integers(0, 2**64, 64, dtype=np.uint64, endpoint=False) | np.uint64(1)
 
-_words = _Kept(xxhash.xxh3_64_intdigest)
+_words = _Kept(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, width: int = 5) -> DataF
         return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(marks, pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(packed, n)], pa.binary())], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             sets: list[np.ndarray] = []
             begin = held = 0
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -98,6 +98,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, width: int = 5) -> DataF
                     begin, held, sets = i + 1, 0, []
             if sets:
                 yield sign(b.column(0).slice(begin, len(sets)), sets)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

@@ -208,7 +208,7 @@ def pieces(docs: DataFrame, text: str, path: str, capacity: int, keep: list[str]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(len(keep)).to_pylist()):
                 ids = memoryview((encode(t) if t else b"") + end)

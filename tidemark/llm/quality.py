@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import give_back
 from tidemark.llm.labelled import sample
 
 MAX_LABELLED = MAX_UNLABELLED = 20_000
@@ -125,8 +126,10 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = np.array([features(t or "") for t in b.column(len(kept)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(model.score(x))], [*kept, column])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                x = np.array([features(t or "") for t in part.column(len(kept)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(model.score(x))], [*kept, column])
+        give_back()
 
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -173,15 +173,15 @@ def _regular(chunk: str, first: bool) -> bool:
 
 
 class _Kept(dict):
-    """What ``make`` gives for a key, kept in two generations: once CACHED keys are new, the older ones go."""
+    """What ``make`` gives for a key, kept in two generations: once ``most`` keys are new, the older ones go."""
 
-    def __init__(self, make) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int = CACHED) -> None:
+        self.make, self.old, self.most = make, {}, most
 
     def __missing__(self, key):
         if (out := self.old.get(key)) is None:
             out = self.new(key)
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = out

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import give_back
 from tidemark.llm.labelled import sample
 
 ORDER, DECAY, WIDTH, STRIDE = 4, 0.8, 12, 4
@@ -170,7 +171,7 @@ class ToxicityModel:
 
 N_FEATURES = 6
 #: Words whose values a worker keeps.
-KEPT = 500_000
+KEPT = 150_000
 
 
 class Reader:
@@ -184,7 +185,7 @@ class Reader:
         begin = 0
         while self.model.table is not None and begin < len(texts):
             sets, held = [], 0
-            while begin + len(sets) < len(texts) and held < 200_000:
+            while begin + len(sets) < len(texts) and held < 60_000:
                 sets.append(tokens(texts[begin + len(sets)]))
                 held += len(sets[-1])
             self._learn(set().union(*sets))
@@ -345,12 +346,12 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(held.value)
         for b in batches:
-            if b.num_rows:
-                x = read.text_features([t or "" for t in b.column(len(kept)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(model_probability(held.value, x))], [*kept, column])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                x = read.text_features([t or "" for t in part.column(len(kept)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(held.value.probability(x))], [*kept, column])
+        del read
+        give_back()
 
     return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
 
-
-def model_probability(model: ToxicityModel, x: np.ndarray) -> np.ndarray:
-    return model.probability(x)

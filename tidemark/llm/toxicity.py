@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import give_back
-from tidemark.llm.labelled import sample
+from tidemark.llm.labelled import held_out, sample
 
 ORDER, DECAY, WIDTH, STRIDE = 4, 0.8, 12, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 32
@@ -314,6 +314,7 @@ def fit_units(toxic: list[str], other: list[str]) -> ToxicityModel | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int = MAX_TEXTS, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+    labels = labels.where(~held_out(F.col("doc_id")))
     short = docs.where(F.length("text") <= MAX_CHARS)
     of = [labels.where(F.col(label) == y) for y in (1, 0)]
     texts = [sorted((r.id, r.text) for r in sample(short, own, label, max_texts, 0).select("id", "text").collect()) for own in of]  # bounded

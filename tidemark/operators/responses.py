@@ -86,13 +86,47 @@ def page_embedding(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
-def best_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, other, cosine): for each page of ``left`` the most alike of ``right`` (id, v); ``right`` is a bounded set
-    of known pages, packed in one row."""
-    packed = right.agg(F.collect_list(F.struct("id", "v")).alias("all"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = left.join(F.broadcast(packed), F.lit(True)).select("id", F.array_max(F.transform(F.filter("all", lambda r: r["id"] != F.col("id")), lambda r: F.struct(F.round(dot(r["v"], F.col("v")), 6).alias("c"), (-r["id"]).alias("i")))).alias("m"))
-    return scored.select("id", (-F.col("m.i")).alias("other"), F.col("m.c").alias("cosine"))
+# A shard's largest size, how many shards small tables are dealt into, and what single precision may be off by.
+SHARD, SPREAD, SLACK = 8192, 10, 1e-4
+
+
+def _best_of(ids: np.ndarray, v: np.ndarray, c_ids: np.ndarray, c: np.ndarray, step: int = 256) -> pd.DataFrame:
+    """(id, other, cosine): each row's best of the candidates, its own id apart. Single precision finds those within
+    SLACK of the best, double precision decides. Of equal candidates the two smallest ids are enough."""
+    order = np.argsort(c_ids, kind="stable")
+    equal = pd.Series([c[i].tobytes() for i in order])
+    few = order[equal.groupby(equal).cumcount().to_numpy() < 2]
+    c_ids, c = c_ids[few], c[few]
+    single, out = c.astype(np.float32).T.copy(), []
+    for at in range(0, len(ids), step):
+        s = v[at : at + step].astype(np.float32) @ single
+        s[ids[at : at + step, None] == c_ids] = -np.inf
+        top = s.max(axis=1, keepdims=True)
+        rows, cols = np.nonzero((s >= top - SLACK) & (top > -np.inf))
+        for i in range(0, len(rows), 8192):
+            r, k = at + rows[i : i + 8192], cols[i : i + 8192]
+            out.append(pd.DataFrame({"id": ids[r], "other": c_ids[k], "cosine": np.einsum("ij,ij->i", v[r], c[k]).round(6)}))
+    found = pd.concat(out) if out else pd.DataFrame({"id": ids[:0], "other": c_ids[:0], "cosine": np.empty(0)})
+    return found.sort_values(["cosine", "other"], ascending=[False, True]).drop_duplicates("id")
+
+
+def best_match(pages: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(id, other, cosine): for each page (id, v of length 1; ids are unique) the most alike of all others, ties in
+    the rounded cosine going to the smaller id; null where there is no other. Pages are dealt into shards of bounded
+    size and every two shards meet in a tile, so every pair is compared and no task holds all pages."""
+    n = pages.count()
+    shards = max(1, -(-n // shard), min(SPREAD, n // 64))
+    own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    tiled = pages.select("id", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("met"))
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        whole = {k: (g["id"].to_numpy(), np.stack(list(g["v"]))) for k, g in part.groupby("own")}
+        both = [(x, y) for x in whole for y in whole if x != y or part["met"].iloc[0] == part["own"].iloc[0]]
+        return pd.concat([_best_of(*whole[x], *whole[y]) for x, y in both] or [pd.DataFrame({"id": [], "other": [], "cosine": []})])
+
+    lists = tiled.groupBy(F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y")).applyInPandas(tile, "id long, other long, cosine double")
+    best = lists.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("other")).alias("i"))).alias("m"))
+    return pages.select("id").join(best, "id", "left").select("id", (-F.col("m.i")).alias("other"), F.col("m.cosine").alias("cosine"))
 
 
 @F.pandas_udf(StringType())

@@ -38,7 +38,7 @@ def page_features(spark, sf_dir):
 @query(None)
 def page_best_match(spark, sf_dir):
     v = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), responses.page_embedding("html").alias("v"))
-    return responses.best_match(v, v.where("id < 20"))
+    return responses.best_match(v)
 
 
 @query("SELECT k AS name, count(*) AS n, min(CAST(json_extract_string(props, '$.'||k) AS BIGINT)) AS low, max(CAST(json_extract_string(props, '$.'||k) AS BIGINT)) AS high FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY k")

@@ -1,10 +1,12 @@
 """Operators that compare or search everything, against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import responses
+from tidemark.operators import extract, responses
 from tidemark.plans import more, registry  # noqa: F401
 
 
@@ -24,3 +26,15 @@ def test_best_match_of_all_pages(spark, sf_dir, shard):
 def test_best_match_query_has_all_pages_as_candidates(spark, sf_dir):
     got = registry.QUERIES["page_best_match"](spark, sf_dir).collect()
     assert len(got) == registry.table(spark, sf_dir, "pages").count() and any(r.other >= 20 for r in got)
+
+
+def test_subdomains_in_texts_too(spark, sf_dir):
+    pages = registry.table(spark, sf_dir, "pages")
+    want = set()
+    for r in pages.collect():
+        texts = re.findall(r"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+example\.com\b", r.html or "")
+        want |= {h.lower() for h in [*texts, re.match(r"\w+://([^/?#:]*)", r.url)[1]] if h.lower().endswith(".example.com")}
+    assert {(r.subdomain, r.level) for r in registry.QUERIES["page_subdomains"](spark, sf_dir).collect()} == {(h, h.count(".") - 1) for h in want}
+    html = "<a href='https://Only.Link.example.com/x'>see text.example.com, notexample.com</a><script>u='//js.example.com/'</script>"
+    one = spark.createDataFrame([(1, "http://www.example.com/", html)], "page_id long, url string, html string")
+    assert {r.subdomain for r in extract.subdomains(one, "example.com").collect()} == {"only.link.example.com", "text.example.com", "js.example.com", "www.example.com"}

@@ -316,6 +316,12 @@ def url_subdomains(spark, sf_dir):
     return extract.subdomains(p, DOMAIN).withColumn("level", F.col("level").cast("long"))
 
 
+@query(None)
+def page_subdomains(spark, sf_dir):
+    """As url_subdomains, and those that stand in the pages' texts, links and scripts."""
+    return extract.subdomains(table(spark, sf_dir, "pages"), DOMAIN).withColumn("level", F.col("level").cast("long"))
+
+
 TAGS = "list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: lower(t))"
 
 

@@ -1,12 +1,13 @@
 """Operators that compare or search everything, against brute force."""
 
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import extract, responses
+from tidemark.operators import extract, responses, similarity
 from tidemark.plans import more, registry  # noqa: F401
 
 
@@ -38,3 +39,26 @@ def test_subdomains_in_texts_too(spark, sf_dir):
     html = "<a href='https://Only.Link.example.com/x'>see text.example.com, notexample.com</a><script>u='//js.example.com/'</script>"
     one = spark.createDataFrame([(1, "http://www.example.com/", html)], "page_id long, url string, html string")
     assert {r.subdomain for r in extract.subdomains(one, "example.com").collect()} == {"only.link.example.com", "text.example.com", "js.example.com", "www.example.com"}
+
+
+@pytest.mark.parametrize("shard", [7, 512])
+def test_similar_structures_against_all_pairs(spark, shard):
+    random.seed(5)
+    kinds = ["div", "p", "a", "ul", "li", "span", "img", "table", "tr", "td"]
+    base, rows = [[random.choice(kinds) for _ in range(60)] for _ in range(4)], []
+    for i in range(80):
+        t = list(base[i % 4])
+        for _ in range(random.randrange(16)):
+            t[random.randrange(len(t))] = random.choice(kinds)
+        rows.append((i, "".join(f"<{x}>" for x in t + ["b"] * random.randrange(6))))
+    rows += [(100, rows[0][1]), (101, ""), (102, "<a>" * 300), (103, "<a>" * 280)]
+    signed = similarity.signatures(spark.createDataFrame(rows, "page_id long, html string")).localCheckpoint()
+    reps = signed.groupBy("struct_hash").agg(F.min_by(F.struct("page_id", "tags", "simhash", "counts", "n"), "page_id").alias("r")).select("r.*")
+    a, b = (reps.select(*[F.col(c).alias(f"{p}_{c}") for c in reps.columns]) for p in "ab")
+    score = similarity.sequence_similarity("a_tags", "b_tags") + similarity.hamming_similarity(F.col("a_simhash"), F.col("b_simhash")) + F.try_divide(F.least("a_n", "b_n"), F.greatest("a_n", "b_n")) + similarity.cosine(F.col("a_counts"), F.col("b_counts"))
+    every = a.join(b, F.col("a_page_id") < F.col("b_page_id")).select("a_page_id", "b_page_id", F.round(score / 4, 6).alias("s"), F.col("a_simhash").bitwiseXOR(F.col("b_simhash")).alias("x"))
+    want = [r for r in every.collect() if r.s is not None and r.s >= 0.85]
+    assert any(all(r.x >> 16 * k & 65535 for k in range(4)) for r in want)  # pairs without an equal block
+    got = {(r.a, r.b): r.similarity for r in similarity.similar_structures(signed, shard=shard).collect()}
+    assert got.keys() == {(r.a_page_id, r.b_page_id) for r in want}
+    assert all(abs(got[r.a_page_id, r.b_page_id] - r.s) < 1e-9 for r in want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,17 +66,66 @@ def signatures(pages: DataFrame, html: str = "html") -> DataFrame:
     return seq.select("page_id", "tags", struct_hash(F.col("tags")).alias("struct_hash"), simhash(F.col("tags")).alias("simhash"), histogram(F.col("tags")).alias("counts"), F.size("tags").alias("n"))
 
 
-def similar_structures(signed: DataFrame, threshold: float = 0.85) -> DataFrame:
+def _lcs_bits(a: list, b: list) -> int:
+    """As ``_lcs``, a row at a time: bit j of ``row`` is 0 where the subsequence grows at place j of ``b``."""
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        u = row & at.get(x, 0)
+        row = ((row + u) | (row - u)) & every
+    return len(b) - row.bit_count()
+
+
+def _alike(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
+    """(a, b, similarity) of the pairs of two shards at or above the threshold. The sequences, which are at most 1
+    alike, are compared only where the other three measures leave room for that."""
+    place = {t: i for i, t in enumerate(sorted({t for m in (*left["counts"], *right["counts"]) for t in dict(m)}))}
+
+    def counts(side: pd.DataFrame) -> np.ndarray:
+        m = np.zeros((len(side), len(place)))
+        for i, c in enumerate(side["counts"]):
+            for t, n in dict(c).items():
+                m[i, place[t]] = n
+        return m
+
+    x, y = counts(left), counts(right)
+    norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+    cos = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    ham = 1.0 - np.bitwise_count(left["simhash"].to_numpy().view(np.uint64)[:, None] ^ right["simhash"].to_numpy().view(np.uint64)[None, :]) / 64.0
+    n, m = left["n"].to_numpy(float)[:, None], right["n"].to_numpy(float)[None, :]
+    size = np.divide(np.minimum(n, m), np.maximum(n, m), out=np.full(norms.shape, np.nan), where=np.maximum(n, m) > 0)
+    room = 1.0 + ham + size + cos >= 4 * threshold - 1e-5  # what is rounded to the threshold counts
+    if same:
+        room &= left["page_id"].to_numpy()[:, None] < right["page_id"].to_numpy()[None, :]
+    ids, others, l_tags, r_tags = left["page_id"].to_numpy(), right["page_id"].to_numpy(), [list(t[:200]) for t in left["tags"]], [list(t[:200]) for t in right["tags"]]
+    out = []
+    for i, j in zip(*np.nonzero(room)):
+        seq = _lcs_bits(l_tags[i], r_tags[j]) / max(len(l_tags[i]), len(r_tags[j]), 1)
+        if (score := (seq + ham[i, j] + size[i, j] + cos[i, j]) / 4) >= threshold - 1e-6:
+            out.append((min(ids[i], others[j]), max(ids[i], others[j]), score))
+    return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+
+def similar_structures(signed: DataFrame, threshold: float = 0.85, shard: int = 512) -> DataFrame:
     """Pairs (a < b) of distinct structures with a composite similarity of at least ``threshold``: the mean of tag
-    sequence, SimHash, size and histogram similarity. Equal structures are one representative each; pairs meet
-    over 16-bit blocks of the SimHash, so no all-pairs join is made."""
-    reps = signed.groupBy("struct_hash").agg(F.min_by(F.struct("page_id", "tags", "simhash", "counts", "n"), "page_id").alias("r"), F.count("*").alias("pages")).select("r.*", "pages")
-    banded = reps.withColumn("band", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(65535)).cast("string")) for i in range(4)])))
-    left, right = (banded.select("band", *[F.col(c).alias(f"{p}_{c}") for c in ("page_id", "tags", "simhash", "counts", "n")]) for p in ("a", "b"))
-    pairs = left.join(right, "band").where("a_page_id < b_page_id").dropDuplicates(["a_page_id", "b_page_id"])
-    size = F.least("a_n", "b_n") / F.greatest("a_n", "b_n")
-    score = (sequence_similarity("a_tags", "b_tags") + hamming_similarity(F.col("a_simhash"), F.col("b_simhash")) + size + cosine(F.col("a_counts"), F.col("b_counts"))) / 4
-    return pairs.select(F.col("a_page_id").alias("a"), F.col("b_page_id").alias("b"), F.round(score, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    sequence, SimHash, size and histogram similarity. Equal structures are one representative each; these are dealt
+    into shards of bounded size and every two shards meet in a tile, so every pair is compared."""
+    reps = signed.groupBy("struct_hash").agg(F.min_by(F.struct("page_id", "tags", "simhash", "counts", "n"), "page_id").alias("r")).select("r.*")
+    n = signed.select("struct_hash").distinct().count()
+    shards = max(1, -(-n // shard), min(10, n // 16))
+    own = F.pmod(F.xxhash64("page_id"), F.lit(shards)).cast("int")
+    tiled = reps.select("page_id", "tags", "simhash", F.map_entries("counts").alias("counts"), "n", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("met"))
+
+    def tile(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part["counts"] = [[tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in c] for c in part["counts"]]
+        left, right = part[part["own"] == key[0]], part[part["own"] == key[1]]
+        return _alike(left, right, key[0] == key[1], threshold)
+
+    pairs = tiled.groupBy(F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y")).applyInPandas(tile, "a long, b long, similarity double")
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def words(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -4,7 +4,9 @@ Each pass hashes every vector with fresh random hyperplanes, orders the vectors
 the concatenated bits, and compares each with the next ``window`` in that order. Pairs at or above the
 threshold (cosine in double precision) are verified links; within a window block they are united at once, so
 a pass hands on at most one edge per vector. Components are then formed over all passes' edges. Last, every
-component is compared with itself in tiles, which gives exact numbers of links however large or dense it is.
+label is compared with itself in tiles, which gives exact numbers of links and the edges between components
+that the passes left apart, so no link is missed whatever a label's size. This last step grows with the square
+of a label's size.
 
 Vectors link only within an equal, non-null label. A vector that is null, empty or zero, or holds a null or
 non-finite component, links with nothing and is a component of its own, as is any without a link. Equal
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, union
 
-BLOCK, TILE = 512, 1024
+BLOCK, TILE, SPREAD = 512, 2048, 10
 
 
 def usable(vec: str):
@@ -88,30 +90,40 @@ def numbered_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataF
     return ranged.join(parts, [*keys, "_range"]).withColumn("at", F.col("_start") + F.col("_m")).drop("_m", "_start", "_range")
 
 
-def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, n_links): by how many vectors, copies counted by their weight ``n``, each representative is linked
-    within its component. ``members``: (rep, comp, v, n). Tiles of TILE by TILE, so a component of any size is spread."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
-    sized = members.join(sizes, "comp")
-    sized = sized.withColumn("_tile", F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int"))
-    left = sized.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    rows = left.select("comp", F.col("_tile").alias("x"), F.col("_other").alias("y"), F.lit(True).alias("own"), "rep", "v", "n").unionByName(
-        left.where("_tile <> _other").select("comp", F.col("_other").alias("x"), F.col("_tile").alias("y"), F.lit(False).alias("own"), "rep", "v", "n")
-    )
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        own = part[part["own"]]
-        if own.empty:
-            return pd.DataFrame({"rep": np.array([], "int64"), "links": np.array([], "int64")})
-        other = own if part["x"].iloc[0] == part["y"].iloc[0] else part[~part["own"]]
-        if other.empty:
-            return pd.DataFrame({"rep": own["rep"], "links": np.int64(0)})
-        hit = unit(own["v"]) @ unit(other["v"]).T >= threshold
-        hit &= own["rep"].to_numpy()[:, None] != other["rep"].to_numpy()[None, :]
-        return pd.DataFrame({"rep": own["rep"], "links": hit @ other["n"].to_numpy()})
-
-    counted = rows.groupBy("comp", "x", "y").applyInPandas(count, "rep long, links long")
-    return counted.groupBy("rep").agg(F.sum("links").alias("links"))
+def all_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, comp, other): by how many vectors, copies counted by their weight ``n``, each representative is
+    linked within a tile of its label (``other`` is null), and the edges (comp, other) between components, with no
+    links. ``members``: (rep, label, comp, v, n). Tiles of up to TILE by TILE, at least SPREAD by SPREAD, so a label of any size is spread."""
+    members = members.withColumn("_dim", F.size("v"))
+    sizes = members.groupBy("label", "_dim").agg(F.greatest(F.ceil(F.count("*") / TILE), F.least(F.lit(SPREAD), F.ceil(F.count("*") / 64))).cast("int").alias("_tiles"))
+    sized = members.join(sizes, ["label", "_dim"])
+    tiled = sized.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+
+    def one_way(left: pd.DataFrame, right: pd.DataFrame, hit: np.ndarray) -> pd.DataFrame:
+        other, comp = right["comp"].to_numpy(), left["comp"].to_numpy()
+        rows, cols = np.nonzero(hit & (comp[:, None] != other[None, :]))
+        # the components that a tile joins are united here, so it hands on at most one edge a component
+        names, at = np.unique(np.concatenate([comp, other]), return_inverse=True)
+        root = union(np.arange(len(names)), at[: len(comp)][rows], at[len(comp) :][cols])
+        also = np.nonzero(root != np.arange(len(names)))[0]
+        counts = pd.DataFrame({"rep": left["rep"].to_numpy(), "comp": comp, "links": hit @ right["n"].to_numpy(), "other": pd.array([pd.NA] * len(comp), dtype="Int64")})
+        edges = pd.DataFrame({"rep": names[also], "comp": names[also], "links": np.int64(0), "other": pd.array(names[root[also]], dtype="Int64")})
+        return pd.concat([counts, edges])
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [g for _, g in part.groupby("_own")]
+        within = part["_own"].iloc[0] == part["_met"].iloc[0]
+        if not within and len(sides) == 1:
+            return pd.DataFrame({"rep": sides[0]["rep"], "comp": sides[0]["comp"], "links": np.int64(0), "other": pd.array([pd.NA] * len(part), dtype="Int64")})
+        left, right = sides[0], sides[-1]
+        hit = unit(left["v"]) @ unit(right["v"]).T >= threshold
+        if within:
+            np.fill_diagonal(hit, False)
+            return one_way(left, right, hit)
+        return pd.concat([one_way(left, right, hit), one_way(right, left, hit.T)])
+
+    keys = ["label", "_dim", F.least("_own", "_met").alias("x"), F.greatest("_own", "_met").alias("y")]
+    return tiled.groupBy(*keys).applyInPandas(tile, "rep long, comp long, links long, other long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, n_passes: int = 16, window: int = 64, seed: int = 41) -> DataFrame:
@@ -124,11 +136,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     edges = cut(passes(classes, threshold, n_passes, window, seed))
     member = good.join(classes.select("label", "v", "rep", "n"), ["label", "v"]).select("id", "rep", "n")
     member = cut(member)
-    in_class = components(edges, "a", "b")
-    linked = classes.join(in_class, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("comp"), "v", "n")
-    counts = link_counts(linked, threshold)
-    of = member.join(in_class, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left")
-    of = of.select("id", F.coalesce("component", "rep").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    found = components(edges, "a", "b")
+    parts = classes.join(found, F.col("rep") == F.col("node"), "left").select("rep", "label", F.coalesce("component", "rep").alias("comp"), "v", "n")
+    links = cut(all_links(parts, threshold))
+    counts = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"), F.min("comp").alias("comp"))
+    joined = components(links.where("other is not null"), "comp", "other")
+    counts = counts.join(joined, F.col("comp") == F.col("node"), "left").select("rep", "links", F.coalesce("component", "comp").alias("component"))
+    of = member.join(counts, "rep").select("id", F.col("component").alias("comp"), (F.col("links") + F.col("n") - 1).alias("links"))
     of = cut(of)
     least = of.groupBy("comp").agg(F.min("id").alias("least"))
     of = of.join(least, "comp").groupBy("id", "comp", "least").agg(F.sum("links").alias("links"))

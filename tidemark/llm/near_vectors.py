@@ -3,19 +3,28 @@
 Each pass hashes every vector with fresh random hyperplanes, orders the vectors of a label lexicographically by
 the concatenated bits, and compares each with the next ``window`` in that order. Pairs at or above the
 threshold (cosine in double precision) are verified links; within a window block they are united at once, so
-a pass hands on at most one edge per vector. Components are then formed over all passes' edges. Last, every
-label is compared with itself in tiles, which gives exact numbers of links and the edges between components
-that the passes left apart, so no link is missed whatever a label's size. This last step grows with the square
-of a label's size.
+a pass hands on at most one edge per vector. Components are then formed over all passes' edges.
+
+How many passes a label gets grows with its size, so that of pairs just at the threshold at most MISSES are in
+no common window of any pass (``passes_for``; n ** 0.2 or so, not n). A label of up to BLOCK vectors is one block and
+compared whole. Hashes are taken around the mean of large labels (of all vectors for the small ones), as a
+direction that all vectors share would make most bits equal.
+
+Links are counted exactly, by tiles of each component with itself: TILE by TILE vectors, never a whole component in a task.
+This is the one step that grows with a square, that of the vectors of one component that differ from each
+other, as their links themselves do. Equal vectors of a label are one class, enter the passes once and are
+counted by their number.
 
 Vectors link only within an equal, non-null label. A vector that is null, empty or zero, or holds a null or
-non-finite component, links with nothing and is a component of its own, as is any without a link. Equal
-vectors of a label are one class and enter the passes once; vectors of different lengths never link. Rows that
-share an id are one node (a row never links with its own id); a row with a null id has no links and a null
-component, and is kept. An empty table gives an empty one."""
+non-finite component, links with nothing and is a component of its own, as is any without a link. Vectors of
+different lengths never link. Rows that share an id are one node (a row never links with its own id); a row
+with a null id has no links and a null component, and is kept. Ties in the sorted order go to the smaller
+class number. An empty table gives an empty one. Only the three named columns are read, so further columns of
+any name do no harm; the output has its four columns alone."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, union
+from tidemark.llm.common import components, cut, join_small, union
 
 BLOCK, TILE, SPREAD = 512, 2048, 10
+#: The part of the pairs at the threshold that the passes may miss in a label that is larger than a block.
+MISSES = 0.0005
+#: Labels with more than a LARGE-th of all vectors, at most LARGE of them, have their own mean and number of passes.
+LARGE = 100
 
 
 def usable(vec: str):
@@ -44,26 +57,79 @@ def _hash_bits(dim: int, seed: int, bits: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits))
 
 
-def passes(vectors: DataFrame, threshold: float, n_passes: int, window: int, seed: int) -> DataFrame:
+def passes_for(n: int, threshold: float, shared: float, window: int, block: int) -> int:
+    """How many passes a label of ``n`` vectors needs. Two vectors at the threshold agree in a hashed bit with
+    probability p = 1 - angle / pi, the angle taken around the label's mean (``shared``: its squared length). They meet
+    if they agree in as many leading bits as leave about ``window`` vectors."""
+    if n <= block:
+        return 1
+    cosine = min(0.9999, max(0.5, (threshold - shared) / max(1e-9, 1 - shared)))
+    agree = 1 - math.acos(cosine) / math.pi
+    meet = agree ** math.log2(max(2.0, n / window))
+    return max(2, math.ceil(math.log(MISSES) / math.log(1 - meet)))
+
+
+def groups(vectors: DataFrame, threshold: float, window: int, block: int) -> dict[tuple[int | None, int], tuple[int, np.ndarray]]:
+    """(passes, centre) by (label, dimension) of the large labels, and by (None, dimension) for all others together,
+    which get as many passes as the greatest of them needs. The centre is the mean of the unit vectors."""
+    sizes = cut(vectors.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n")))
+    large = F.col("n") * LARGE > (sizes.agg(F.sum("n")).first()[0] or 0)
+    own = {(r.label, r.dim): r.n for r in sizes.where(large).collect()}  # at most LARGE rows
+    most = {r.dim: r.n for r in sizes.where(~large).groupBy("dim").agg(F.max("n").alias("n")).collect()}  # a row a dimension
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for dim, part in b.groupby(b["v"].map(len).to_numpy()):
+                names = part["label"].to_numpy()
+                apart, at = np.unique(names, return_inverse=True)
+                u = unit(part["v"])
+                for i, label in enumerate(apart.tolist()):
+                    key = (label if (label, int(dim)) in own else None, int(dim))
+                    rows = u[at == i]
+                    n, total = sums.get(key, (0, 0.0))
+                    sums[key] = (n + len(rows), total + rows.sum(axis=0))
+        if not sums:
+            return
+        yield pd.DataFrame({
+            "label": pd.array([k[0] for k in sums], dtype="Int64"), "dim": np.array([k[1] for k in sums], np.int32),
+            "n": np.array([x[0] for x in sums.values()], np.int64), "s": [x[1].tolist() for x in sums.values()],
+        })
+
+    parts = vectors.select("label", "v").mapInPandas(add, "label long, dim int, n long, s array<double>")
+    parts = parts.select("label", "dim", "n", F.posexplode("s").alias("at", "x")).groupBy("label", "dim", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    centres: dict = {}
+    for r in parts.collect():  # LARGE + 1 rows by dimension and place
+        centres.setdefault((r.label, r.dim), np.zeros(r.dim))[r.at] = round(r.x, 9)  # sums come in any order
+    return {
+        k: (passes_for(own[k] if k[0] is not None else most[k[1]], threshold, float(c @ c), window, block), c) for k, c in centres.items()
+    }
+
+
+def passes(vectors: DataFrame, threshold: float, n_passes: int | None, window: int, seed: int) -> DataFrame:
     """Verified edges (a, b) of the passes over ``vectors`` (rep, label, v). In a pass the sorted order is cut
     into blocks of BLOCK places, and each block also sees the first ``window`` vectors of the next one."""
-    per_bits = 63
+    per_bits, block = 63, BLOCK
+    of = groups(vectors, threshold, window, block)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = 1 << np.arange(per_bits - 1, -1, -1, dtype=np.int64)
         for b in batches:
-            dims = b["v"].map(len)
-            for dim, part in b.groupby(dims.to_numpy()):
-                u = unit(part["v"])
-                signs = (u @ _hash_bits(int(dim), seed, per_bits * n_passes) > 0).reshape(len(u), n_passes, per_bits)
-                weights = 1 << np.arange(per_bits - 1, -1, -1, dtype=np.int64)
-                codes = signs.astype(np.int64) @ weights
-                for p in range(n_passes):
-                    yield pd.DataFrame({"rep": part["rep"].to_numpy(), "grp": part["label"].to_numpy(), "dim": np.int32(dim), "pass": np.int32(p), "code": codes[:, p]})
+            for dim, part in b.groupby(b["v"].map(len).to_numpy()):
+                rep, label, u = part["rep"].to_numpy(), part["label"].to_numpy(), unit(part["v"])
+                apart, at = np.unique(label, return_inverse=True)
+                plans = [of.get((x, int(dim))) or of[(None, int(dim))] for x in apart.tolist()]
+                counts = np.array([n_passes or n for n, _ in plans])[at]
+                u -= np.stack([c for _, c in plans])[at]
+                for p in range(counts.max()):
+                    rows = np.flatnonzero(counts > p)
+                    signs = u[rows] @ _hash_bits(int(dim), seed + p, per_bits) > 0
+                    yield pd.DataFrame({"rep": rep[rows], "grp": label[rows], "dim": np.int32(dim), "pass": np.int32(p), "code": signs.astype(np.int64) @ weights})
 
     coded = cut(vectors.select("rep", "label", "v").mapInPandas(keys, "rep long, grp long, dim int, pass int, code long"))
     place = numbered_in_order(coded, ["pass", "grp", "dim"], ["code", "rep"])
-    home = place.withColumn("block", F.floor(F.col("at") / BLOCK)).withColumn("home", F.lit(True))
-    seen = home.where((F.col("at") % BLOCK < window) & (F.col("block") > 0)).withColumns({"block": F.col("block") - 1, "home": F.lit(False)})
+    home = place.withColumn("block", F.floor(F.col("at") / block)).withColumn("home", F.lit(True))
+    seen = home.where((F.col("at") % block < window) & (F.col("block") > 0)).withColumns({"block": F.col("block") - 1, "home": F.lit(False)})
     rows = home.unionByName(seen).join(vectors.select("rep", "v"), "rep")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
@@ -90,44 +156,33 @@ def numbered_in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataF
     return ranged.join(parts, [*keys, "_range"]).withColumn("at", F.col("_start") + F.col("_m")).drop("_m", "_start", "_range")
 
 
-def all_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, comp, other): by how many vectors, copies counted by their weight ``n``, each representative is
-    linked within a tile of its label (``other`` is null), and the edges (comp, other) between components, with no
-    links. ``members``: (rep, label, comp, v, n). Tiles of up to TILE by TILE, at least SPREAD by SPREAD, so a label of any size is spread."""
-    members = members.withColumn("_dim", F.size("v"))
-    sizes = members.groupBy("label", "_dim").agg(F.greatest(F.ceil(F.count("*") / TILE), F.least(F.lit(SPREAD), F.ceil(F.count("*") / 64))).cast("int").alias("_tiles"))
-    sized = members.join(sizes, ["label", "_dim"])
+def counted(members: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links): by how many vectors, copies counted by their weight ``n``, each representative is linked.
+    ``members``: (rep, comp, v, n) of the components with several representatives, each compared with
+    itself in tiles of up to TILE by TILE, of larger components at least SPREAD by SPREAD."""
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.least(F.lit(SPREAD), F.ceil(F.count("*") / 256))).cast("int")
+    sized = join_small(members, members.groupBy("comp").agg(tiles.alias("_tiles"), F.count("*").alias("c")), "comp", "c", members.count())
     tiled = sized.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_tiles")).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
 
-    def one_way(left: pd.DataFrame, right: pd.DataFrame, hit: np.ndarray) -> pd.DataFrame:
-        other, comp = right["comp"].to_numpy(), left["comp"].to_numpy()
-        rows, cols = np.nonzero(hit & (comp[:, None] != other[None, :]))
-        # the components that a tile joins are united here, so it hands on at most one edge a component
-        names, at = np.unique(np.concatenate([comp, other]), return_inverse=True)
-        root = union(np.arange(len(names)), at[: len(comp)][rows], at[len(comp) :][cols])
-        also = np.nonzero(root != np.arange(len(names)))[0]
-        counts = pd.DataFrame({"rep": left["rep"].to_numpy(), "comp": comp, "links": hit @ right["n"].to_numpy(), "other": pd.array([pd.NA] * len(comp), dtype="Int64")})
-        edges = pd.DataFrame({"rep": names[also], "comp": names[also], "links": np.int64(0), "other": pd.array(names[root[also]], dtype="Int64")})
-        return pd.concat([counts, edges])
-
     def tile(part: pd.DataFrame) -> pd.DataFrame:
         sides = [g for _, g in part.groupby("_own")]
-        within = part["_own"].iloc[0] == part["_met"].iloc[0]
-        if not within and len(sides) == 1:
-            return pd.DataFrame({"rep": sides[0]["rep"], "comp": sides[0]["comp"], "links": np.int64(0), "other": pd.array([pd.NA] * len(part), dtype="Int64")})
         left, right = sides[0], sides[-1]
+        out = lambda of, n: pd.DataFrame({"rep": of["rep"].to_numpy(), "links": n})
+        if part["_own"].iloc[0] != part["_met"].iloc[0] and len(sides) == 1:  # the other side is empty
+            return out(left, np.int64(0))
         hit = unit(left["v"]) @ unit(right["v"]).T >= threshold
-        if within:
+        if len(sides) == 1:
             np.fill_diagonal(hit, False)
-            return one_way(left, right, hit)
-        return pd.concat([one_way(left, right, hit), one_way(right, left, hit.T)])
+            return out(left, hit @ right["n"].to_numpy())
+        return pd.concat([out(left, hit @ right["n"].to_numpy()), out(right, hit.T @ left["n"].to_numpy())])
 
-    keys = ["label", "_dim", F.least("_own", "_met").alias("x"), F.greatest("_own", "_met").alias("y")]
-    return tiled.groupBy(*keys).applyInPandas(tile, "rep long, comp long, links long, other long")
+    keys = ["comp", F.least("_own", "_met").alias("x"), F.greatest("_own", "_met").alias("y")]
+    return tiled.groupBy(*keys).applyInPandas(tile, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, n_passes: int = 16, window: int = 64, seed: int = 41) -> DataFrame:
-    """One row per row of ``df``: id, n_links, component_id, kept."""
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, n_passes: int | None = None, window: int = 64, seed: int = 41) -> DataFrame:
+    """One row per row of ``df``: id, n_links, component_id, kept. ``n_passes``: the same number for all labels
+    instead of what ``passes_for`` says."""
     ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
     good = cut(ids.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v")).distinct())
     classes = good.groupBy("label", "v").agg(F.min("id").alias("rep0"), F.count("*").alias("n"))
@@ -136,13 +191,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     edges = cut(passes(classes, threshold, n_passes, window, seed))
     member = good.join(classes.select("label", "v", "rep", "n"), ["label", "v"]).select("id", "rep", "n")
     member = cut(member)
-    found = components(edges, "a", "b")
-    parts = classes.join(found, F.col("rep") == F.col("node"), "left").select("rep", "label", F.coalesce("component", "rep").alias("comp"), "v", "n")
-    links = cut(all_links(parts, threshold))
-    counts = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"), F.min("comp").alias("comp"))
-    joined = components(links.where("other is not null"), "comp", "other")
-    counts = counts.join(joined, F.col("comp") == F.col("node"), "left").select("rep", "links", F.coalesce("component", "comp").alias("component"))
-    of = member.join(counts, "rep").select("id", F.col("component").alias("comp"), (F.col("links") + F.col("n") - 1).alias("links"))
+    found = components(edges, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    parts = cut(classes.select("rep", "v", "n").join(found, "rep"))
+    links = parts.select("rep", "comp").join(counted(parts, threshold), "rep")
+    of = member.join(links, "rep", "left").select(
+        "id", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")
+    )
     of = cut(of)
     least = of.groupBy("comp").agg(F.min("id").alias("least"))
     of = of.join(least, "comp").groupBy("id", "comp", "least").agg(F.sum("links").alias("links"))

@@ -55,7 +55,7 @@ def test_top_k_against_sorting(vectors, scale, block, shard):
     rows = {(r.id, tuple(r.v)) for r in ints.collect()}
     got = {}
     if scale == 2**50:
-        ints = ints.selectExpr("id", "transform(v, x -> x div 1125899906842L) as v")  # long products beyond 2**53
+        ints = ints.selectExpr("id", "transform(v, x -> cast(x as bigint) div 1125899906842L) as v")  # long products beyond 2**53
         rows = {(r.id, tuple(r.v)) for r in ints.collect()}
     for r in topk.top_k(ints.where("id % 10 = 0"), ints, 4, query_block=block, shard=shard).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -66,7 +66,8 @@ def test_top_k_against_sorting(vectors, scale, block, shard):
 
 
 def test_ties_go_to_the_smaller_id():
-    ids, found, score = (np.concatenate(x) for x in zip(*topk.top_of_tile(np.array([1]), np.array([[1, 1]]), np.array([9, 1, 4, 7, 3]), np.array([[1, 1]] * 5), 3)))
+    parts = list(topk.top_of_tile(np.array([1]), np.array([[1, 1]]), np.array([9, 1, 4, 7, 3]), np.array([[1, 1]] * 5), 3))
+    found = np.concatenate([x[1] for x in parts])
     assert found.tolist() and sorted(found.tolist()) == [3, 4, 7]
 
 
@@ -78,3 +79,16 @@ def test_merges_in_a_tree(spark):
     for q in range(3):
         want = [j for _, j in sorted((-rows[q] * x, j) for j, x in rows.items() if j != q)[:5]]
         assert [r.vec_id for r in got if r.query_id == q] == want
+
+
+@pytest.mark.parametrize("shard", [2, 1000])
+def test_vectors_of_any_finite_size_take_part(spark, shard):
+    """Scores beyond a long are the nearest long, in the order of the whole scores; no finite vector is left out."""
+    rows = [(0, [1.0, 0.5]), (1, [1e30, 0.0]), (2, [3.4e38, 1.0]), (3, [-1e300, 0.0]), (4, [-1e301, 0.0]), (5, [1.7e308, 0.0]), (6, [0.25, 0.25]), (7, [float("inf"), 0.0])]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "vec_id long, embedding array<double>, id string, v string")
+    ints = topk.to_integers(df, "vec_id", "embedding", 256)
+    assert {r.id for r in ints.collect()} == set(range(7))
+    got = topk.top_k(ints.where("id = 0"), ints, 6, shard=shard).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [5, 2, 1, 6, 3, 4]
+    assert [r.score for r in got][:4] == [2**63 - 1] * 3 + [256 * 64 + 128 * 64] and got[5].score == -(2**63)
+    assert topk.top_k(ints.where("false"), ints, 3).count() == 0 == topk.top_k(ints, ints.where("false"), 3).count()

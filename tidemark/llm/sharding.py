@@ -5,7 +5,9 @@ key; the least draw wins and the row goes down into that child. A child's draw d
 and its own weight, so a weight that changes moves rows only into or out of the subtrees on its path; and a
 shard that opens a subtree of its own takes rows only into itself.
 
-Null keys are one key. Rows, nulls and copies alike, are all placed; an empty table gives an empty one."""
+Null keys are one key. Rows, nulls and copies alike, are all placed; rows that are equal in the key and in ``order``
+may swap slots. Only the key decides, so texts of any length cost the same. An empty table gives an empty one. The
+input's columns are kept, but for ``shard``, ``slot`` and (with a grown tree) ``grown_shard``, which must not stand in it: that raises."""
 
 from __future__ import annotations
 
@@ -27,10 +29,12 @@ class Leaf:
 
 def topology(shards: int, regions: int = 4, racks: int = 2, per_rack: int = 2) -> list[Leaf]:
     """The first regions * racks * per_rack shards fill a regular tree; each later one opens its own region,
-    which is why growth by one shard moves rows only into that shard. Below that size, each shard is a region."""
+    which is why growth by one shard moves rows only into that shard. Fewer shards than the regular tree has would
+    need another tree, to which rows would move from everywhere: that raises. Found a small cluster on a smaller
+    tree (1, 1, 1 for any number of shards) and keep its three numbers as it grows."""
     base = regions * racks * per_rack
-    if shards < base:
-        return [Leaf(f"r{i}", "k0", i) for i in range(shards)]
+    if base < 1 or shards < base:
+        raise ValueError(f"{shards} shards are fewer than the {base} of the tree that they start from")
     return [
         Leaf(f"r{i // (racks * per_rack)}", f"k{i // per_rack % racks}", i) if i < base else Leaf(f"x{i}", "k0", i)
         for i in range(shards)
@@ -80,6 +84,8 @@ def place(key: Column, leaves: list[Leaf], seed: int = 17) -> Column:
 def shard_rows(df: DataFrame, key: str, leaves: list[Leaf], grown: list[Leaf] | None = None, order: list[str] = (), seed: int = 17) -> DataFrame:
     """``df`` with ``shard``, ``slot`` (its gapless place in the shard, from 0) and, given a ``grown`` tree,
     ``grown_shard``. ``df`` is written once to the shared folder, so keep its columns narrow."""
+    if taken := {"shard", "slot", *(["grown_shard"] if grown is not None else [])} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has columns of the names {sorted(taken)} already")
     out = df.withColumn("shard", place(F.col(key), leaves, seed))
     if grown is not None:
         out = out.withColumn("grown_shard", place(F.col(key), grown, seed))

@@ -5,16 +5,18 @@ one shingle. A signature holds HASHES minima of 16 bits. It is split into CHUNKS
 differ in at most ``HASHES // (HASHES // CHUNKS) * 2 - 1`` = 15 of 32 places have, by pigeonhole, a chunk with at
 most one difference, so with every chunk's one-place wild cards as keys all such pairs meet in a bucket. (Of
 pairs with a similarity of 0.75, 0.2 % differ in more places; of more similar pairs, fewer.) Equal sets are one
-class throughout.
+class throughout. The distance is made for similarities of 75 percent and more; lower ones are refused.
 
 Buckets are compared in tiles of bounded size, whatever a bucket's size. First every class takes the smallest
 class that it meets within the signature distance; these pairs are confirmed on full sets and united. Then what
-met and is still in different components forms families, whose members are compared in tiles on full sets. So a
-group of n near copies costs about n confirmations, no pairs are listed, and none that could join two components
-is left out.
+met and is still in different components forms families, whose members are compared in tiles on full sets; those
+of a family's largest component meet only the others. So a group of n near copies costs about n confirmations and
+n times its stragglers, no pairs are listed, and none that could join two components is left out.
 
-Texts that are null, empty or blank have an empty set and link with nothing. Rows with a null id have no
-component and are kept. Rows that share an id are one node. An empty table gives an empty one."""
+Texts that are null, empty or blank have an empty set and link with nothing. Texts of any length count whole; a
+long one is held by one task at a time. Of equal sets the smallest id stands for all. Rows with a null id have no
+component and are kept. Rows that share an id are one node. An empty table gives an empty one. Only the id and the
+text are read, so further columns of any name do no harm; the output has its four columns alone."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import components, cut, give_back, settle, union, whole_runs
+from tidemark.llm.common import components, cut, give_back, join_small, settle, union, whole_runs
 from tidemark.llm.mixing import _mix64
 from tidemark.llm.tokens import _Kept
 
@@ -135,12 +137,12 @@ def tiles(rows: DataFrame) -> DataFrame:
     return met.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "n", "low")
 
 
-def _pairs(group: np.ndarray, side: np.ndarray, sizes: np.ndarray, low: np.ndarray, differ: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(group: np.ndarray, side: np.ndarray, sizes: np.ndarray, low: np.ndarray, differ: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i, j) of one tile within the distance; tiles are the runs of ``group``. Those of a few rows are
     compared all at once by their distance in the run, larger ones each by itself."""
 
     def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = 4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j])
+        ok = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
         if differ is not None:
             ok &= differ[i] != differ[j]
         i, j = i[ok], j[ok]
@@ -177,7 +179,7 @@ def crossed(group: np.ndarray, side: np.ndarray, starts: np.ndarray, ends: np.nd
     return np.repeat(two, ends - starts)
 
 
-def meet(tiled: DataFrame, apart: bool) -> DataFrame:
+def meet(tiled: DataFrame, apart: bool, percent: int = 75) -> DataFrame:
     """Pairs (a >= b) of classes that meet in a tile within the signature distance: of each class a that meets
     any, only that with the smallest b it meets, itself included; or, ``apart``, edges (a > b) that connect what
     meets across components (column comp), at most one for each row of a tile."""
@@ -190,7 +192,7 @@ def meet(tiled: DataFrame, apart: bool) -> DataFrame:
             low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
             new = np.concatenate([[True], np.any([column[k][1:] != column[k][:-1] for k in keys], axis=0)])
             cls, found = column["cls"], []
-            for i, j in _pairs(np.cumsum(new), column["side"], column["n"], low, column.get("comp")):
+            for i, j in _pairs(np.cumsum(new), column["side"], column["n"], low, column.get("comp"), percent):
                 if len(i):
                     found.append((i, j))
             if not found:
@@ -213,13 +215,32 @@ def meet(tiled: DataFrame, apart: bool) -> DataFrame:
     return pairs.where("a <> b").distinct() if apart else pairs.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def confirm_families(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) between different components within families: ``members`` are (fam, cls, comp, low, text). A
-    family's members are compared in tiles of FAMILY_TILE by FAMILY_TILE, those within the signature distance on
-    their full sets; of a tile's links only those that unite its components are returned."""
-    sized = members.join(members.groupBy("fam").agg(F.ceil(F.count("*") / FAMILY_TILE).cast("int").alias("parts")), "fam")
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = sized.select("fam", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp", "low", "text")
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, hashes: the sorted shingle hashes as bytes) of (id, text), so that no comparison hashes a text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, 200) for x in batches for at in range(0, x.num_rows, 200)):
+            sets = pa.array([shingle_hashes(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["id", "hashes"])
+        give_back()
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
+
+
+def confirm_families(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within families: ``members`` are (fam, cls, comp, low, hashes). The
+    members are compared in tiles of FAMILY_TILE by FAMILY_TILE, those within the signature distance on their full
+    sets; of a tile's links only those that unite its components are returned. The members of a family's largest
+    component are known to be connected: they meet the others only, which costs copies in proportion to both."""
+    of = members.groupBy("fam", "comp").agg(F.count("*").alias("n"))
+    of = of.groupBy("fam").agg(F.sum("n").alias("c"), F.max(F.struct("n", "comp")).alias("main"))
+    parts = lambda n: F.ceil(n / FAMILY_TILE).cast("int")
+    of = of.select("fam", "c", F.col("main.comp").alias("main"), parts(F.col("main.n")).alias("a"), parts(F.col("c") - F.col("main.n")).alias("b"))
+    sized = join_small(members, of.where("b > 0"), "fam", "c", members.count())
+    inside = F.col("comp") == F.col("main")
+    sized = sized.withColumn("part", F.when(inside, F.pmod(F.xxhash64("cls"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("cls"), F.col("b"))).cast("int"))
+    sized = sized.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("a")).otherwise(0), F.col("a") + F.col("b") - 1)))
+    rows = sized.select("fam", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "comp", "low", "hashes")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     keys = ["fam", "x", "y"]
 
@@ -258,32 +279,32 @@ def confirm_families(members: DataFrame, percent: int, width: int) -> DataFrame:
             low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
             starts, found = np.flatnonzero(new), []
             for a, b in zip(starts, np.append(starts[1:], len(cls))):
-                sets = [shingle_hashes(x, width) for x in t.column("text").slice(a, b - a).to_pylist()]
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").slice(a, b - a).to_pylist()]
                 found += links(cls[a:b], comp[a:b], side[a:b], low[a:b], sets)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema.names)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_group: int = 64) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``texts``: (id, text) of all their classes. Each b
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, per_group: int = 64) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. ``sets``: (id, hashes) of all their classes. Each b
     meets its partners in groups of about ``per_group``."""
     sized = pairs.groupBy("b").agg(F.ceil(F.count("*") / per_group).cast("int").alias("parts"))
     dealt = pairs.join(sized, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     wanted = dealt.select(F.col("a").alias("id"), "b", "part").unionByName(
         sized.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     )
-    rows = texts.join(wanted, "id").select("b", "part", "id", "text")
+    rows = sets.join(wanted, "id").select("b", "part", "id", "hashes")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, ["b", "part"]):
-            hub, part, ids, text = (t.column(c) for c in ("b", "part", "id", "text"))
+            hub, part, ids, hashes = (t.column(c) for c in ("b", "part", "id", "hashes"))
             a, b, at, heads = [], [], None, []
-            for h, p, i, x in zip(hub.to_pylist(), part.to_pylist(), ids.to_pylist(), text.to_pylist()):
+            for h, p, i, x in zip(hub.to_pylist(), part.to_pylist(), ids.to_pylist(), hashes.to_pylist()):
                 if at != (h, p):
                     at, heads = (h, p), []
-                s = shingle_hashes(x, width)
+                s = np.frombuffer(x, np.uint64)
                 if i == h:  # sorted: the head's texts stand first
                     heads.append(s)
                 elif any(linked(y, s, percent) for y in heads):
@@ -298,22 +319,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, per_gr
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (one row of a component's smallest id is
     kept per row that has this id)."""
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100: the signatures' distance loses pairs of a lower similarity")
     signed = cut(signatures(docs, id_col, text, width))
     real = signed.where("id is not null and set is not null")
     classes = cut(real.groupBy("set").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("m")).select("set", F.col("m.id").alias("cls"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig")))
     tiled = cut(tiles(buckets(classes)))
-    met = cut(meet(tiled, apart=False))
+    met = cut(meet(tiled, False, percent))
     first, wanted = met.where("a <> b"), met.select(F.col("a").alias("id"))
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi"))
-    links = cut(confirm(first, texts, width, percent))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    sets = cut(shingle_sets(texts, width))
+    links = cut(confirm(first, sets, percent))
     heads = classes.select(F.col("cls").alias("id"), "cls").distinct()
     comp = cut(settle(heads, links))
     labelled = tiled.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("comp")), "cls").join(wanted.select(F.col("id").alias("cls")), "cls", "left_semi")
-    families = components(meet(labelled, apart=True), "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("fam"))
+    families = components(meet(labelled, True, percent), "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("fam"))
     lows = tiled.join(families, "cls").groupBy("fam", "cls").agg(F.min("low").alias("low"))
     members = cut(lows.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("comp")), "cls"))
-    members = members.join(texts.withColumnRenamed("id", "cls"), "cls")
-    more = cut(confirm_families(members, percent, width))
+    members = cut(members.join(sets.withColumnRenamed("id", "cls"), "cls"))
+    more = cut(confirm_families(members, percent))
     member = real.select("id", "set").distinct().join(classes.select("set", "cls"), "set").select("id", "cls")
     out = settle(cut(member), links.unionAll(more))
     return signed.select("id", "n_shingles").join(out, "id", "left").select(

@@ -5,17 +5,20 @@ The main path is DataFrame functions only. The model is fitted on a small labell
 hash bucket, enter the scoring expression as a constant array.
 
 A null url, or one without ``://``, has an empty host and path: no rule fits it, and the model judges the
-empty address by its bias alone. Repeated rows are judged alike. An empty table gives an empty one."""
+empty address by its bias alone. URLs of any length are read whole. Repeated rows are judged alike; of rules that
+are equally long, the first listed wins. An empty table gives an empty one."""
 
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import masked, without
+
 MAX_LABELLED = 20_000
 
 # The small labelled URL table (url, 1 = block).
@@ -40,10 +43,10 @@ LABELLED = [
     ("https://maps.travel.org/fr/mountains", 0),
     ("https://www.chess.org/openings/italian", 0),
     ("https://open.textbook.edu/physics/waves", 0),
-    ("https://blog.thering.example.org/en/35", 0),
-    ("https://m.therha.example.net/fr/204.html", 0),
-    ("https://www.tionble.example.com/en/812/", 0),
-    ("https://ththha.example.net/de/77", 0),
+    ("https://www.riverside-school.net/news/41", 0),
+    ("https://blog.martins-family.info/2019/07/hello.html", 0),
+    ("http://orchestra.stadt.org/programm/herbst", 0),
+    ("https://www.biblioteca.info/catalogo/historia/", 0),
     ("http://cheap-pills-online.biz/buy/viagra", 1),
     ("http://casino-bonus-777.win/free-spins", 1),
     ("http://hot-xxx-cams.top/live/girls", 1),
@@ -68,6 +71,22 @@ LABELLED = [
     ("http://torrent-crack-download.win/keygen", 1),
     ("http://hot-singles-dating.click/sex/chat", 1),
     ("http://fake-rolex-outlet.xyz/replica", 1),
+    ("https://www.grand-casino.com/en/slots", 1),
+    ("https://sports-bets.net/odds/today", 1),
+    ("http://adult-videos.com/fr/new", 1),
+    ("https://cdn.ads-server.net/banner/88", 1),
+    ("http://click-track.com/pixel?id=3", 1),
+    ("https://win-money.org/lottery/", 1),
+    ("https://xxx-adult.net/de/gallery", 1),
+    ("http://free-bet-bonus.com/es/12", 1),
+    ("https://www.winterthur.com/en/history", 0),
+    ("https://betterhomes.net/garden/3", 0),
+    ("https://adultlearning.org/courses/25", 0),
+    ("http://thunder.weather.net/en/4410", 0),
+    ("https://m.station.com/fr/horaires/", 0),
+    ("https://blog.theorem.net/2/proofs.html", 0),
+    ("http://nations.info/es/771?page=3", 0),
+    ("https://www.tradition.net/de/feste", 0),
 ]
 
 # The rules (verdict, host, path) of the standard query.
@@ -101,20 +120,18 @@ def path_of(url: Column) -> Column:
 
 def gram_buckets(host: Column, path: Column, dims: int, lengths: tuple[int, ...]) -> Column:
     """The hash bucket of every character n-gram of ``^host$`` and ``^path$``, those of the two apart."""
+    def grams(marked: Column, field: str, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(field), marked.substr(i, F.lit(n))), F.lit(dims)).cast("int"))
+
     def of(text: Column, field: str) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
-        return F.concat(*[
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.pmod(F.xxhash64(F.lit(field), marked.substr(i, F.lit(n))), F.lit(dims)).cast("int"),
-            )
-            for n in lengths
-        ])
+        return F.concat(*[grams(marked, field, n) for n in lengths])
 
     return F.concat(of(host, "h"), of(path, "p"))
 
 
-def fit(spark: SparkSession, labelled: DataFrame | None = None, dims: int = 2048, lengths: tuple[int, ...] = (3, 4), rounds: int = 300, rate: float = 40.0, decay: float = 1e-5) -> UrlModel:
+def fit(spark: SparkSession, labelled: DataFrame | None = None, dims: int = 2048, lengths: tuple[int, ...] = (3, 4), rounds: int = 4000, rate: float = 60.0, decay: float = 1e-6) -> UrlModel:
     """Logistic regression on each URL's mean of one-hot n-gram buckets, by gradient descent on the driver.
     ``labelled`` has (url, label 0/1); at most MAX_LABELLED rows are taken (by a hash of the url); null urls
     or labels are left out. Without a labelled row, every weight is 0."""
@@ -126,18 +143,16 @@ def fit(spark: SparkSession, labelled: DataFrame | None = None, dims: int = 2048
         .select("label", gram_buckets(host_of(F.col("url")), path_of(F.col("url")), dims, lengths).alias("b"))
         .collect()
     )
-    weights, bias = [0.0] * dims, 0.0
+    weights, bias = np.zeros(dims), 0.0
+    y = np.array([label for label, _ in rows], float)
+    counts = np.array([len(b) for _, b in rows])
+    row, gram = np.repeat(np.arange(len(rows)), counts), np.array([i for _, b in rows for i in b], np.int64)
     for _ in range(rounds if rows else 0):
-        step, step_bias = [0.0] * dims, 0.0
-        for label, buckets in rows:
-            z = bias + sum(weights[i] for i in buckets) / len(buckets)
-            wrong = label - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            step_bias += wrong
-            for i in buckets:
-                step[i] += wrong / len(buckets)
-        bias += step_bias / len(rows)
-        weights = [w + rate * (g / len(rows) - decay * w) for w, g in zip(weights, step)]
-    return UrlModel(weights, bias, tuple(lengths))
+        z = bias + np.bincount(row, weights[gram], len(rows)) / counts
+        wrong = (y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) / len(rows)
+        bias += float(wrong.sum())
+        weights += rate * (np.bincount(gram, (wrong / counts)[row], dims) - decay * weights)
+    return UrlModel(weights.tolist(), bias, tuple(lengths))
 
 
 def blocked_probability(host: Column, path: Column, model: UrlModel) -> Column:
@@ -158,12 +173,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def judge(df: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] = RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
-    """``df`` with host, path, rule, blocked (the model's probability) and verdict. Columns of these names are replaced."""
-    out = df.withColumn("_url", F.col(url)).drop("host", "path", "rule", "blocked", "verdict")
-    out = out.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
+    """``df`` with host, path, rule, blocked (the model's probability) and verdict. Columns of these names, in any
+    case, are replaced; all others may have any name."""
+    added = ["host", "path", "rule", "blocked", "verdict"]
+    inner, name = masked(df)
+    out = inner.withColumns({"host": host_of(F.col(name[url])), "path": path_of(F.col(name[url]))})
     out = out.withColumn("_hit", rule_of(F.col("host"), F.col("path"), rules))
     out = out.withColumn("blocked", blocked_probability(F.col("host"), F.col("path"), model))
-    return out.withColumns({
+    out = out.withColumns({
         "rule": F.col("_hit.rule"),
         "verdict": F.coalesce(F.col("_hit.verdict"), F.when(F.col("blocked") >= threshold, "block").otherwise("allow")),
-    }).drop("_hit", "_url")
+    })
+    return out.select(*[F.col(name[c]).alias(c) for c in without(df.columns, added)], *added)

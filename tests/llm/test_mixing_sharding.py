@@ -62,6 +62,55 @@ def test_shard_draws_add_up():
     assert all((b == sum(own for _, own in parts[:i])).all() for i, (b, _) in enumerate(parts))
 
 
+def test_large_draws_are_random():
+    """Beyond what the library draws: the right mean and spread, and every seed draws anew."""
+    totals = np.array([6 * 10**9, 2 * 10**9, 10**9, 0, 10])
+    n = 3 * 10**9
+    drawn = np.array([mixing._draw(np.random.default_rng(s), totals.copy(), n) for s in range(300)])
+    assert (drawn.sum(axis=1) == n).all() and (drawn <= totals).all() and len({tuple(x) for x in drawn}) == 300
+    share = totals[:3] / totals.sum()
+    spread = np.sqrt(n * share * (1 - share) * (totals.sum() - n) / (totals.sum() - 1))
+    assert (abs(drawn[:, :3].mean(axis=0) - n * share) < 5 * spread / np.sqrt(300)).all()
+    assert (abs(drawn[:, :3].std(axis=0) / spread - 1) < 0.2).all()
+    counts = [tuple(mixing.shard_counts(totals, 4, 0, seed)[1]) for seed in (1, 2, 3)]
+    assert len(set(counts)) == 3
+
+
+def test_numbers_beyond_one_span(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "SPAN", 4)
+    df = spark.range(500).selectExpr("id", "if(id % 3 = 0, null, id % 3) as k")
+    got = {}
+    for r in common.numbered(df, ["k"], [F.col("id")], "n", rows_per_bucket=20).collect():
+        got.setdefault(r.k, []).append(r.n)
+    assert {k: sorted(x) for k, x in got.items()} == {k: list(range(len(x))) for k, x in got.items()} and set(got) == {None, 1, 2}
+
+
+def test_growth_law_needs_the_founding_tree(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        sharding.topology(15)
+    df = spark.range(3000).select(*[sharding.place(F.col("id"), sharding.topology(n, 1, 1, 1)).alias(f"s{n}") for n in range(1, 18)])
+    for r in df.collect():
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for n in range(1, 17))
+
+
+def test_shards_by_an_own_descent(spark):
+    """Every level by hand: -ln(u) / weight of each child, u from the hash of its name, the seed and the key."""
+    import math
+
+    names = [f"{p}" for r in range(4) for p in [f"/r{r}"]] + [f"/r{r}/k{k}" for r in range(4) for k in range(2)] + [f"/r{r}/k{k}/{s}" for r in range(4) for k in range(2) for s in range(r * 4 + k * 2, r * 4 + k * 2 + 2)]
+    keys = spark.range(200).select("id", *[F.xxhash64(F.lit(n), F.lit(17), F.col("id")).alias(n) for n in names], sharding.place(F.col("id"), sharding.topology(16)).alias("shard"))
+    for r in keys.collect():
+        draw = lambda n, w: -math.log((((r[n] % 2**64) >> 11) + 1) / 2**53) / w  # noqa: B023, E731
+        region = min((draw(f"/r{x}", 4), x) for x in range(4))[1]
+        rack = min((draw(f"/r{region}/k{x}", 2), x) for x in range(2))[1]
+        shard = min((draw(f"/r{region}/k{rack}/{x}", 1), x) for x in range(region * 4 + rack * 2, region * 4 + rack * 2 + 2))[1]
+        assert r.shard == shard
+
+
 def test_sharding(docs, no_docs, spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id")).unionByName(docs.select("doc_id"))
     out = sharding.shard_rows(rows, "doc_id", sharding.topology(16), sharding.topology(17)).collect()

@@ -50,6 +50,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names c0, c1, ... that no name of an operator's own clashes with, and the name of each column."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(columns: list[str], added: list[str]) -> list[str]:
+    """``columns`` but for those whose names, in any case, an operator adds."""
+    return [c for c in columns if c.lower() not in {a.lower() for a in added}]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

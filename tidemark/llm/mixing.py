@@ -9,22 +9,28 @@ slots meet in a join by (source, block index). The last slot of a source is cut
 source gives exactly floor(target) words.
 
 A null source is a source of its own and sorts last. Null, empty and blank texts have size 0 and are never
-taken; a source of size 0 has target 0. Repeated rows are documents of their own. An empty table gives an
-empty one. The table of sources (one row each) is ordered as a whole; it is a dimension, not the corpus."""
+taken; a source of size 0 has target 0. A text of any length is cut into as many blocks as it needs. Repeated rows
+are documents of their own; rows that are equal in the order columns and in size are alike for the mix and may
+swap places. An empty table gives an empty one. Columns of the input that have a name of an output column are
+replaced by it; all others may have any name. The table of sources (one row each) is ordered as a whole: it is a
+dimension, not the corpus, and more than MAX_SOURCES sources raise an error."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import e, floor, lgamma, sqrt
+from math import log as ln
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, numbered
+from tidemark.llm.common import cut, masked, numbered, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
+MAX_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -100,20 +106,43 @@ def shard_counts(totals: np.ndarray, shards: int, shard: int, seed: int) -> tupl
 
 
 def _draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
-    """A multivariate hypergeometric draw of n; by shares where the counts pass what numpy's generator takes."""
-    if colours.sum() < 10**9:
+    """A multivariate hypergeometric draw of n, colour by colour."""
+    out, rest = np.zeros_like(colours), int(colours.sum())
+    if rest < 10**9:  # what numpy's generator takes
         return rng.multivariate_hypergeometric(colours, n, method="marginals")
-    share = np.floor(colours * (n / colours.sum())).astype(np.int64)
-    rest = n - int(share.sum())
-    for i in np.argsort(-(colours * (n / colours.sum()) - share))[:rest]:
-        share[i] += 1
-    return np.minimum(share, colours)
+    for i, c in enumerate(colours.tolist()):
+        rest -= c
+        out[i] = hypergeometric(rng, c, rest, n)
+        n -= int(out[i])
+    return out
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are of the ``good``, for any counts: by the ratio of uniforms, under
+    a hat that fits every log-concave distribution."""
+    if good + bad < 10**9:
+        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    log = lambda k: -(lgamma(k + 1) + lgamma(good - k + 1) + lgamma(n - k + 1) + lgamma(bad - n + k + 1))
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+    share = good / (good + bad)
+    spread = n * share * (1 - share) * (good + bad - n) / (good + bad - 1)
+    width = 2 * sqrt(2 / e) * sqrt(spread + 0.5) + 3 - 2 * sqrt(3 / e)
+    while True:
+        u, v = 1 - rng.random(), rng.random() - 0.5
+        k = floor(n * share + 0.5 + width * v / u)
+        if low <= k <= high and 2 * ln(u) <= log(k) - log(mode):
+            return k
 
 
 def plan(goals: DataFrame, block: int, per_shard: int, seed: int) -> tuple[DataFrame, int]:
     """The slots: (sid, block index, epoch, shard, place in the shard, words of the block that it takes), and the
     number of shards. ``goals``: (sid from 0 without gaps, source_size, target)."""
     spark = goals.sparkSession
+    if goals.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = goals.select("sid", "source_size", "target").orderBy("sid").collect()  # one row per source
     size = np.array([r.source_size for r in rows], np.int64)
     want = np.array([int(r.target) for r in rows], np.int64)
@@ -176,14 +205,17 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", order: list
     and the taken spans (row, epoch, shard, place, offset: words of the slot before it, start: word of the
     document, length), which are the mix itself in the order of (shard, place, offset).
 
-    ``docs`` is written once to the shared folder, so keep its columns narrow."""
-    narrow = docs.select(*dict.fromkeys([*order, *carry]), F.col(source).alias("_source"), F.col(size).alias("_size"))
+    Columns ``order`` and ``carry`` of one of these names are replaced. ``docs`` is written once to the shared
+    folder, so keep its columns narrow."""
+    named = without(list(dict.fromkeys([*order, *carry])), ["sid", "row", "size", "source_size", "target", "taken"])
+    inner = {c: f"_c{i}" for i, c in enumerate(dict.fromkeys([*order, *carry]))}
+    narrow = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], F.col(source).alias("_source"), F.col(size).alias("_size"))
     narrow = cut(narrow)
     goals = cut(targets(narrow, "_source", "_size", weights, share, most).withColumn(
         "sid", (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))) - 1).cast("int")))
     of = goals.select(F.col("source").alias("_goal"), "source_size", "target", "sid")
     keyed = narrow.join(of, F.col("_source").eqNullSafe(F.col("_goal")), "left").drop("_source", "_goal")
-    placed = numbered(cut(keyed), ["sid"], [F.col(x) for x in order] + [F.col("_size")], "nth")
+    placed = numbered(cut(keyed), ["sid"], [F.col(inner[x]) for x in order] + [F.col("_size")], "nth")
     # the running sum of sizes within a source, by the same buckets as the numbers: 4,096 rows each
     placed = cut(placed.withColumns({"_bin": F.floor(F.col("nth") / 4096)}))
     bins = placed.groupBy("sid", "_bin").agg(F.sum("_size").alias("_n"))
@@ -204,7 +236,7 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", order: list
         .withColumn("length", F.least(F.col("length"), F.col("words") - F.col("offset"))).where("length > 0")
         .select("sid", "row", "epoch", "shard", "place", "offset", "start", "length")
     )
-    return documents.withColumnRenamed("_size", "size").drop("_at"), spans
+    return documents.select(*[F.col(inner[c]).alias(c) for c in named], "sid", "row", F.col("_size").alias("size"), "source_size", "target"), spans
 
 
 def taken(documents: DataFrame, spans: DataFrame) -> DataFrame:
@@ -216,22 +248,26 @@ def taken(documents: DataFrame, spans: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """The mix as documents: one row per document and pass over its source, with the words that the pass takes.
     A text that is taken whole stays as it is; of others the taken words follow each other with single blanks.
-    The columns of ``docs`` are kept, ``n_chars`` is counted again. Repeated rows are taken as often as they stand."""
-    same = [doc_id, source, "_crc"]
-    keyed = docs.withColumn("_crc", F.crc32(F.coalesce(text, F.lit(""))))
-    documents, spans = mix(keyed.select(*same, n_words(F.col(text)).alias("_words")), source, "_words", order=[doc_id, "_crc"], carry=[source], **options)
+    The columns of ``docs``, of any names, are kept with their own row's values, ``n_chars`` is counted again. Repeated rows are taken as
+    often as they stand."""
+    inner, name = masked(docs)
+    text_, rest = name[text], [c for c in inner.columns if c != name[text]]
+    # a row is known by its id, source, text and all else that it has; rows that are equal in all may stand for each other
+    same = [name[doc_id], name[source], "_crc", "_rest"]
+    keyed = inner.withColumns({"_crc": F.crc32(F.coalesce(text_, F.lit(""))), "_rest": F.xxhash64(text_, F.to_json(F.struct(*rest)))})
+    documents, spans = mix(keyed.select(*same, n_words(F.col(text_)).alias("_words")), name[source], "_words", order=[name[doc_id], "_crc", "_rest"], carry=[name[source]], **options)
     takes = spans.groupBy("sid", "row", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))  # of one document
-    takes = takes.join(documents.select("sid", "row", "size", doc_id, source, "_crc"), ["sid", "row"])
+    takes = takes.join(documents.select("sid", "row", "size", *same), ["sid", "row"])
     takes = takes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(same)], F.col("size").alias("_size"), "_spans")
     on = None
     for i, c in enumerate(same):
         x = F.col(c).eqNullSafe(F.col(f"_k{i}"))
         on = x if on is None else on & x
     rows = keyed.dropDuplicates(same).join(takes, on)
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col(text_), F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_all", (s["start"] + 1).cast("int"), s["length"].cast("int")))), " ")
     whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]) == F.col("_size")
-    rows = rows.withColumn("_all", F.when(~whole, words)).withColumn(text, F.when(whole, F.col(text)).otherwise(some))
+    rows = rows.withColumn("_all", F.when(~whole, words)).withColumn(text_, F.when(whole, F.col(text_)).otherwise(some))
     if n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn(name[n_chars], F.length(text_).cast(docs.schema[n_chars].dataType))
+    return rows.select(*inner.columns).toDF(*docs.columns)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_texts, quality, toxicity, url_filter
-from tidemark.llm.labelled import held_out
+from tidemark.llm.labelled import held_out, sample
 
 
 def shingles(t, words):
@@ -99,12 +99,44 @@ def test_classifiers_on_odd_rows(spark, docs, no_docs, module, label):
         assert module.score(no_docs, model).count() == 0
 
 
-def test_positive_unlabelled_risk():
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_positive_unlabelled_risk(share):
+    """Without a negative label: the prior is found, and the classes of the unlabelled rows are told apart."""
     rng = np.random.default_rng(1)
+    k, n = len(quality.FEATURES), 4000
+    y = rng.random(n) < share
+    unl = rng.standard_normal((n, k)) + np.where(y, 1.0, -1.0)[:, None]
+    model = quality.fit_features(rng.standard_normal((500, k)) + 1, quality.Pool(unl))
+    assert abs(model.prior - share) < 0.08
+    assert ((model.score(unl) > 0.5) == y).mean() > 0.9
+
+
+def test_the_risk_does_not_fall_below_zero():
+    rng = np.random.default_rng(2)
     k = len(quality.FEATURES)
-    pos, neg = rng.standard_normal((300, k)) + 1, rng.standard_normal((300, k)) - 1
-    model = quality.fit_features(pos[:150], np.vstack([pos[150:], neg[150:]]), 0.5)
-    assert (model.score(pos) > 0.5).mean() > 0.9 and (model.score(neg) < 0.5).mean() > 0.9
+    pos, unl = rng.standard_normal((4, k)) + 1, rng.standard_normal((12, k))
+    pool = quality.Pool(unl)
+    model = quality.fit_features(pos, pool, 0.5)
+    w = np.append(model.weights, model.bias)
+    z_u, z_p = (np.hstack([model.expand(x), np.ones((len(x), 1))]) @ w for x in (unl, pos))
+    assert np.logaddexp(0, z_u).mean() - 0.5 * np.logaddexp(0, z_p).mean() >= -1e-9
+
+
+def test_quality_from_positives_alone(spark):
+    docs, labels = both(spark, "/root/testdata/sf0.01")
+    full, alone = (quality.fit(docs, x) for x in (labels, labels.where("quality = 1")))
+    assert full.prior == alone.prior < 0.97 and (full.weights == alone.weights).all()
+
+
+def test_sample_is_bounded(spark):
+    """An id that stands many times, in documents and labels, is one row."""
+    docs = spark.createDataFrame([(1, f"t{i:03}") for i in range(300)] + [(i, "x") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(i, i % 2) for i in range(2, 30)] + [(3, 0), (99, 1)], "doc_id long, q int")
+    rows = sample(docs, labels, "q", 10, 10).collect()
+    assert len(rows) == 20 and len({(r.id, r.label is None) for r in rows}) == 20
+    rows = sample(docs, labels, "q", 100, each=True).collect()
+    assert {r.id for r in rows} == {i for i in range(1, 30) if i != 3 and zlib.crc32(str(i).encode()) % 5}
+    assert [r.text for r in rows if r.id == 1] in ([], ["t000"])
 
 
 def test_subsequence_kernel_against_its_definition():
@@ -127,6 +159,55 @@ def test_subsequence_kernel_against_its_definition():
             assert abs(got[a, b] - want) < 1e-9
 
 
+def test_large_alphabets(monkeypatch):
+    """Landmarks of any characters; the searched table gives what the one looked up by place gives."""
+    units = ["".join(chr(0x4E00 + 7 * i + j) for j in range(6)) for i in range(60)]
+    marks = toxicity.Landmarks([*units, "idiot"])
+    assert np.allclose(np.diag(marks.kernel(marks.units)), 1) and marks.base**toxicity.ORDER > 10**10
+    small = ["idiot", "stupid", "idixot", "xidiot", "ids\0"]
+    want = toxicity.Landmarks(small[:2]).kernel(small)
+    monkeypatch.setattr(toxicity, "MAX_TABLE", 1)
+    searched = toxicity.Landmarks(small[:2])
+    assert np.allclose(searched.kernel(small), want) and searched.size > 1
+
+
+def test_folded_decision_function():
+    """The table gives what kernel values with the landmarks, times the support vector machine's weights, give."""
+    rng = np.random.default_rng(5)
+    calm = ["table", "window", "garden", "river", "music", "paper", "house", "green", "of", "the"]
+    toxic = [{*rng.choice(calm, 4), w} for w in ["idiot", "moronic", "ugh"] * 20]
+    kept = {}
+    solve = toxicity.svm
+    try:
+        toxicity.svm = lambda x, y, c: kept.setdefault("w", []).append(solve(x, y, c)) or kept["w"][-1]
+        model = toxicity.fit_units(toxic, [set(rng.choice(calm, 5)) for _ in range(60)])
+    finally:
+        toxicity.svm = solve
+    w, bias = kept["w"][-1]
+    marks = model.landmarks
+    value, vector = np.linalg.eigh(marks.kernel(marks.units))
+    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    units = ["idiot", "idxiot", "moron", "garden", "ugh\0", "of\0\0", "zzzzz"]
+    assert np.allclose(model.values(units), marks.kernel(units) @ root @ w + bias, atol=1e-5)
+    v = model.values(units)
+    assert min(v[0], v[1], v[4]) > max(v[3], v[5], v[6])
+
+
+def test_long_toxic_texts_teach(spark):
+    """Where every labelled toxic text is long, the model still tells texts apart."""
+    rnd = random.Random(4)
+    calm = [f"word{i}" for i in range(300)]
+    def text(bad, n):
+        return " ".join(rnd.choice(calm) for _ in range(n)) + (" you idiot moronic scum" if bad else "")
+    rows = [(i, text(i % 2, 1500 if i % 2 else 60)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    test = spark.createDataFrame([(0, text(False, 80)), (1, text(True, 80))], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(test, model).collect()}
+    assert score[1] > 0.5 > score[0]
+
+
 def test_gapped_words_are_read():
     assert "idiot" in toxicity.tokens("you i d i o t") and "idiot" in toxicity.windows("i.d.i.o.t")
 
@@ -151,15 +232,26 @@ def test_urls(spark):
     assert abs(p - 1 / (1 + np.exp(-z))) < 1e-12
 
 
-def test_pipeline(spark, sf_dir):
-    pytest.importorskip("corpus_pipeline")
-    import corpus_pipeline
+def test_held_out_urls(spark):
+    """Labelled URLs that the model has not seen."""
+    good = ["https://www.opera.org/season/tickets", "https://docs.python-guide.net/en/latest/", "https://city.museum.fr/expositions/2020", "http://www.botany.edu/plants/oak.html", "https://news.village.com/sports/result"]
+    bad = ["http://free-casino-slots.top/win", "http://cheap-viagra.shop/order-now", "http://hot-porn-cams.xyz/sex", "http://keygen-crack-warez.club/download", "http://payday-loans-bonus.click/apply"]
+    df = spark.createDataFrame([(u,) for u in good + bad], "url string")
+    verdict = {r.url: r.verdict for r in url_filter.judge(df, url_filter.fit(spark), rules=[]).collect()}
+    assert [verdict[u] for u in good + bad] == ["allow"] * 5 + ["block"] * 5
+
+
+def test_probability_by_hand(spark):
+    """Hashed n-grams of ^host$ and ^path$, averaged, under the model's weights: written out in Python."""
+    model = url_filter.UrlModel([float(i % 7) - 3 for i in range(64)], 0.25, (3, 4))
+    host, path = "ab.example", "/x"
+    grams = [(f, m[i : i + n]) for f, m in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4) for i in range(max(1, len(m) - n + 1))]
+    hashed = spark.createDataFrame(grams, "f string, g string").select(F.pmod(F.xxhash64("f", "g"), F.lit(64)).alias("b")).collect()
+    z = sum(model.weights[r.b] for r in hashed) / len(grams) + 0.25
+    p = spark.range(1).select(url_filter.blocked_probability(F.lit(host), F.lit(path), model).alias("p")).first().p
+    assert abs(p - 1 / (1 + np.exp(-z))) < 1e-12
+
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, ids = docs.columns, {r.doc_id for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != "packing":
-            assert docs.columns == columns and {r.doc_id for r in docs.select("doc_id").collect()} <= ids
-            ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert {r.doc_id for r in docs.collect()} == ids and re.match("packing", name)
+def test_refused_percent(docs):
+    with pytest.raises(ValueError):
+        near_texts.near_duplicates(docs, percent=50)

@@ -13,18 +13,26 @@ weights fold into one table over subsequences, exactly: scoring a unit sums tabl
 subsequences. A text's highest unit values and how many are positive give its probability, by a logistic fit, for which
 each toxic text also stands a second time with a character put into its insults.
 
-Bounds of what the fit sees: MAX_TEXTS labelled texts of either label of up to MAX_CHARS characters for the
-units, MAX_LABELLED labelled texts of any length for the logistic fit. Scoring covers all units of every text.
+Bounds of what the fit sees: MAX_TEXTS labelled texts of either label, of any length, for the units, of each at most
+MAX_WORDS distinct words (by a hash); MAX_LABELLED labelled texts for the logistic fit. Scoring covers all units of
+every text.
+
+A unit of fewer than ORDER characters is filled up by a mark, so it has one subsequence and is known in its plain
+form only; gaps and inserted characters are tolerated from ORDER characters on. Alphabets of any size are held: a
+pair of characters is a number of its own only if a landmark has it.
 
 Null and empty texts have no units and get the logistic score of none. Without labels of both kinds, every score
-is the share of toxic labels (0 if there are none). Repeated rows score alike; an empty table gives an empty one."""
+is the share of toxic labels (0 if there are none). Repeated rows score alike; the scored texts never meet, so there
+are no ties. A column of the score's name (in any case) is replaced, all others may have any name. An empty table gives an empty one."""
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -34,12 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import give_back
+from tidemark.llm.common import fresh, give_back, without
 from tidemark.llm.labelled import held_out, sample
 
 ORDER, DECAY, WIDTH, STRIDE = 4, 0.8, 12, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 32
-MAX_TEXTS, MAX_CHARS, MAX_LABELLED, MAX_UNITS = 1_000, 4_000, 20_000, 25_000
+MAX_TEXTS, MAX_WORDS, MAX_LABELLED, MAX_UNITS = 1_000, 20_000, 20_000, 25_000
+FILL = "\0"
+#: The largest table of pairs of pairs that is looked up by place (4 bytes an entry); larger ones are searched.
+MAX_TABLE = 1 << 22
 WITNESSES = 6
 
 _APART = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
@@ -56,9 +67,20 @@ def windows(token: str) -> list[str]:
     """What is read of a token: it without marks at its ends, and, if it has marks inside, it without any."""
     unit = token.strip(_MARKS)
     forms = [unit] if unit.isalnum() or not unit else [unit, "".join(filter(str.isalnum, unit))]
+    forms = [f.ljust(ORDER, FILL) if 0 < len(f) < ORDER else f for f in forms]
     return [f[i : i + WIDTH] for f in forms for i in range(0, max(1, len(f) - WIDTH + STRIDE), STRIDE)]
 
 
+@lru_cache(maxsize=WIDTH + 1)
+def _pairs(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of places in a unit of ``length``, and which pairs are the two halves of each of ``_places``."""
+    pairs = np.array(list(combinations(range(length), 2)), np.int64).reshape(-1, 2)
+    number = np.zeros((length, length), np.int64)
+    number[pairs[:, 0], pairs[:, 1]] = np.arange(len(pairs))
+    at, _ = _places(length)
+    return pairs, number[at[:, 0], at[:, 1]], number[at[:, 2], at[:, 3]]
+
+
 @lru_cache(maxsize=WIDTH + 1)
 def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
     """All ORDER places in a unit of ``length``, and what each weighs: DECAY to its span."""
@@ -101,24 +123,32 @@ def by_length(units: list[str], step: int = 2000) -> Iterator[tuple[np.ndarray,
 
 @dataclass
 class Landmarks:
-    """Units and the weight of each subsequence of theirs, over their own alphabet (code 0: any other character)."""
+    """Units and the weight of each subsequence of theirs. A subsequence of ORDER = 4 characters is known by its two
+    halves, each a pair of characters that some landmark has there (number 0: any other pair)."""
 
     units: list[str]
-    alphabet: dict[int, int] = field(default_factory=dict)
-    entries: np.ndarray = None  # subsequences that any landmark has, as codes, sorted
-    weights: np.ndarray = None  # entries x landmarks, normalised
+    entries: np.ndarray = None  # subsequences that any landmark has, as keys, sorted
+    weights: np.ndarray = None  # entries (and a last row for none) x landmarks, normalised
 
     def __post_init__(self) -> None:
-        self.alphabet = {c: i for i, c in enumerate(sorted({ord(c) for u in self.units for c in u}), 1)}
-        base, maps = len(self.alphabet) + 1, []
+        alphabet = sorted({ord(c) for u in self.units for c in u})
+        self.base = len(alphabet) + 1
         self.code_of = np.zeros(0x110000, np.int32)
-        for c, i in self.alphabet.items():
-            self.code_of[c] = i
+        self.code_of[alphabet] = np.arange(1, self.base, dtype=np.int32)
+        halves = [(self.code_of[_codes([u])[0]], *_pairs(len(u))) for u in self.units]
+        pair = [small[p[:, 0]].astype(np.int64) * self.base + small[p[:, 1]] for small, p, _, _ in halves]
+        self.halves = []
+        for side in (2, 3):
+            found = np.unique(np.concatenate([x[h[side]] for x, h in zip(pair, halves)]))
+            number = np.zeros(self.base**2, np.int32)
+            number[found] = np.arange(1, len(found) + 1, dtype=np.int32)
+            self.halves.append(number)
+        self.second = int(self.halves[1].max(initial=0)) + 1
+        self.size = (int(self.halves[0].max(initial=0)) + 1) * self.second
+        maps = []
         for u in self.units:
-            at, w = _places(len(u))
-            codes = _codes([u])
-            own = Counter()
-            for key, x in zip(self.keys(codes, at)[0].tolist(), (w / norms(codes)[0]).tolist()):
+            own, codes = Counter(), _codes([u])
+            for key, x in zip(self.keys(codes)[0].tolist(), (_places(len(u))[1] / norms(codes)[0]).tolist()):
                 own[key] += x
             maps.append(own)
         self.entries = np.array(sorted({k for m in maps for k in m}), np.int64)
@@ -127,23 +157,36 @@ class Landmarks:
         for j, m in enumerate(maps):
             for k, x in m.items():
                 self.weights[where[k], j] = x
-        self.index = np.full(base**ORDER, len(self.entries), np.int32)
-        self.index[self.entries] = np.arange(len(self.entries), dtype=np.int32)
+        self.index = self.spread(np.arange(len(self.entries)), len(self.entries), np.int32)
 
-    def keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        base = len(self.alphabet) + 1
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """Units (all of one length) x places: the number of each subsequence."""
+        pairs, first, last = _pairs(codes.shape[1])
         small = self.code_of[codes]
-        key = np.zeros((len(codes), len(at)), np.int32)
-        for k in range(ORDER):
-            key = key * base + small[:, at[:, k]]
-        return key
+        pair = small[:, pairs[:, 0]] * np.int64(self.base) + small[:, pairs[:, 1]]
+        heads = self.halves[0][pair].astype(np.int64) * self.second
+        return heads[:, first] + self.halves[1][pair][:, last]
+
+    def spread(self, values: np.ndarray, none, kind) -> np.ndarray:
+        """What ``look_up`` reads: a value for each entry and one for all else."""
+        if self.size > MAX_TABLE:
+            return np.append(values, none).astype(kind)
+        out = np.full(self.size, none, kind)
+        out[self.entries] = values
+        return out
+
+    def look_up(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if self.size <= MAX_TABLE:
+            return table[keys]
+        at = np.minimum(np.searchsorted(self.entries, keys), len(self.entries) - 1)
+        return table[np.where(self.entries[at] == keys, at, len(self.entries))]
 
     def kernel(self, units: list[str]) -> np.ndarray:
         """Normalised kernel values: units x landmarks (0 for units shorter than ORDER)."""
         out = np.zeros((len(units), len(self.units)))
         for where, codes in by_length(units, 200):
-            at, w = _places(codes.shape[1])
-            entry = self.index[self.keys(codes, at)]
+            w = _places(codes.shape[1])[1]
+            entry = self.look_up(self.index, self.keys(codes))
             size = len(self.entries) + 1
             flat = np.bincount((np.arange(len(codes))[:, None] * size + entry).ravel(), np.broadcast_to(w, entry.shape).ravel(), len(codes) * size)
             out[where] = flat.reshape(len(codes), size) @ self.weights / norms(codes)[:, None]
@@ -161,8 +204,8 @@ class ToxicityModel:
     def values(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), self.bias)
         for where, codes in by_length(units):
-            at, w = _places(codes.shape[1])
-            out[where] += (self.table[self.landmarks.keys(codes, at)] @ w) / norms(codes)
+            w = _places(codes.shape[1])[1]
+            out[where] += (self.landmarks.look_up(self.table, self.landmarks.keys(codes)) @ w) / norms(codes)
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -257,14 +300,14 @@ def altered(unit: str, rng: np.random.Generator) -> str:
     return unit[:at] + "-._*'xe"[rng.integers(0, 7)] + unit[at:]
 
 
-def fit_units(toxic: list[str], other: list[str]) -> ToxicityModel | None:
-    """The unit model from texts of either label; None where it has nothing to learn from."""
-    sets = [[{w for t in tokens(x) for w in windows(t) if len(w) >= ORDER} for x in texts] for texts in (toxic, other)]
+def fit_units(toxic: list[set[str]], other: list[set[str]]) -> ToxicityModel | None:
+    """The unit model from the words of texts of either label; None where it has nothing to learn from."""
+    sets = [[{w for t in x for w in windows(t) if len(w) >= ORDER} for x in texts] for texts in (toxic, other)]
     seen = [Counter(w for s in own for w in s) for own in sets]
     n_t, n_o = max(1, len(toxic)), max(1, len(other))
     least = 2 if n_t < 200 else 3
     telling = sorted((-k / n_t + seen[1][u] / n_o, u) for u, k in seen[0].items() if k >= least and k / n_t > 4 * seen[1][u] / n_o)
-    common = sorted((-k, u) for u, k in seen[1].items())
+    common = sorted((-k, u) for u, k in seen[1].items() if FILL not in u) or sorted((-k, u) for u, k in seen[1].items())
     if not telling or not common:
         return None
     chosen = [u for _, u in telling[:TOXIC_LANDMARKS]]
@@ -275,7 +318,7 @@ def fit_units(toxic: list[str], other: list[str]) -> ToxicityModel | None:
     for one, other_one in zip(telling[:TOXIC_LANDMARKS] * 3, rng.integers(0, len(common), 3 * TOXIC_LANDMARKS)):
         for side, u in ((0, one[1]), (1, common[other_one][1])):
             v = altered(u, rng)
-            if len(v) <= WIDTH:
+            if len(v) <= WIDTH and FILL not in u:
                 seen[side][v] += -(-seen[side][u] // 3)
                 own = [x for x in sets[side] if u in x]
                 for x in own[: seen[side][v]]:
@@ -310,15 +353,23 @@ def fit_units(toxic: list[str], other: list[str]) -> ToxicityModel | None:
             break
     alpha = root @ w
     folded = np.append(marks.weights[:-1] @ alpha, 0.0)
-    return ToxicityModel(marks, folded[marks.index].astype(np.float64), bias, np.zeros(N_FEATURES), 0.0)
+    return ToxicityModel(marks, marks.spread(folded[:-1], 0.0, np.float32), bias, np.zeros(N_FEATURES), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int = MAX_TEXTS, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     labels = labels.where(~held_out(F.col("doc_id")))
-    short = docs.where(F.length("text") <= MAX_CHARS)
-    of = [labels.where(F.col(label) == y) for y in (1, 0)]
-    texts = [sorted((r.id, r.text) for r in sample(short, own, label, max_texts, 0).select("id", "text").collect()) for own in of]  # bounded
-    unit_model = fit_units(*[[t for _, t in x] for x in texts])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [heapq.nsmallest(MAX_WORDS, tokens(t), key=lambda w: (zlib.crc32(w.encode()), w)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.string()))], ["label", "words"])
+        give_back()
+
+    taught = sample(docs, labels, label, max_texts, each=True).select("label", "text").mapInArrow(words, "label int, words array<string>").collect()  # bounded
+    texts = [sorted((sorted(r.words) for r in taught if r.label == y)) for y in (1, 0)]
+    del taught
+    unit_model = fit_units(*[[set(x) for x in own] for own in texts])
+    del texts
     counts = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     if unit_model is None:
         return constant(counts.get(1, 0) / max(1, sum(counts.values())))
@@ -332,7 +383,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int
             x = read.text_features([t for *_, t in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    rows = sample(docs, labels, label, max_labelled, 0).select("id", "label", "text").mapInArrow(measure, "id long, label int, x array<double>")
+    rows = sample(docs, labels, label, max_labelled).select("id", "label", "text").mapInArrow(measure, "id long, label int, x array<double>")
     got = sorted((r.id, r.label, tuple(r.x)) for r in rows.collect())  # bounded by max_labelled
     weights, offset = logistic(np.array([x for *_, x in got]), np.array([y for _, y, _ in got], float))
     return ToxicityModel(unit_model.landmarks, unit_model.table, unit_model.bias, weights, offset)
@@ -340,9 +391,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None, column: str = "score") -> DataFrame:
     """``docs`` (its columns ``keep``, all by default) with ``column``: how likely the text is toxic."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != column]
+    kept = without(docs.columns if keep is None else keep, [column])
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(column, T.DoubleType())])
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a table over ORDER characters of the landmarks' alphabet
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TABLE entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(held.value)
@@ -354,5 +405,5 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[
         del read
         give_back()
 
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias(fresh("_text", kept))).mapInArrow(run, schema)
 

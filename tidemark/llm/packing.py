@@ -9,7 +9,9 @@ items are then numbered, in buckets, and take the places that the solution has f
 places grows with the capacity, not with the input.
 
 Items whose length is null, below 1 or above the capacity get null places. Repeated rows are items of their
-own. An empty table gives an empty one."""
+own; items of one length are alike for the packing, their order columns only say which takes which place, and
+ties in them may swap. A text of any length is cut into as many pieces as it needs. Columns of the input named
+as an added one (in any case) are replaced; all others may have any name. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, numbered
+from tidemark.llm.common import cut, fresh, masked, numbered, without
 from tidemark.llm.tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it) of one sequence
@@ -168,6 +170,13 @@ def places(patterns: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
 
 def pack(df: DataFrame, length: str, capacity: int, order: list[str]) -> DataFrame:
     """``df`` with sequence_id (from 0, gapless) and offset. ``df`` is read several times: give a written table."""
+    if length in (kept := without(df.columns, ["sequence_id", "offset"])):
+        inner, name = masked(df.select(*kept))
+        return _pack(inner, name[length], capacity, [name[c] for c in order if c in name]).toDF(*kept, "sequence_id", "offset")
+    raise ValueError(f"{length!r} can't be the length: a column of that name is added")
+
+
+def _pack(df: DataFrame, length: str, capacity: int, order: list[str]) -> DataFrame:
     spark = df.sparkSession
     fits = df.where(F.col(length).between(1, capacity))
     counts = {int(r[0]): int(r[1]) for r in fits.groupBy(length).count().collect()}  # at most ``capacity`` rows
@@ -175,7 +184,7 @@ def pack(df: DataFrame, length: str, capacity: int, order: list[str]) -> DataFra
         return df.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     table = spark.sparkContext.broadcast(places(solve(counts, capacity)))  # bounded by the capacity
     buckets = F.get(F.from_json(F.lit(str([-(-counts.get(s, 0) // 4096) or 1 for s in range(capacity + 1)])), "array<int>"), F.col(length).cast("int"))
-    items = numbered(fits, [length], [F.col(c) for c in order], "_item", buckets=buckets)
+    items = numbered(fits, [length], [F.col(c) for c in order or [length]], "_item", buckets=buckets)
     schema = T.StructType([*df.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = [f.name for f in schema.fields]
 
@@ -203,6 +212,7 @@ def pack(df: DataFrame, length: str, capacity: int, order: list[str]) -> DataFra
 def pieces(docs: DataFrame, text: str, path: str, capacity: int, keep: list[str], end_id: int = 0) -> DataFrame:
     """``keep``, piece, start, length and ids_crc32 of each document's pieces: its ids and ``end_id``, uncut up to
     the capacity; longer ones in pieces of the capacity, the first of which has what remains."""
+    keep = without(keep, ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
     added = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, t) for n, t in added)])
 
@@ -223,10 +233,10 @@ def pieces(docs: DataFrame, text: str, path: str, capacity: int, keep: list[str]
             new = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in b.columns[: len(keep)]), *new], [f.name for f in schema.fields])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(split, schema)
+    return docs.select(*keep, F.col(text).alias(fresh("_text", keep))).mapInArrow(split, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", keep: list[str] = ("doc_id",), end_id: int = 0) -> DataFrame:
     """Tokenize whole documents and pack their pieces into as few sequences as this method can."""
     table = cut(pieces(docs, text, path, capacity, list(keep), end_id))
-    return pack(table, "length", capacity, [*keep, "piece", "ids_crc32"])
+    return pack(table, "length", capacity, [c for c in table.columns if c not in ("start", "length")])

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import fresh, without
+
 CACHED = 250_000
 
 
@@ -286,7 +288,7 @@ def prefix_counts(df: DataFrame, text: str, path: str, keep: list[str] | None =
     ``longest_within``). Columns of these names are replaced. ``path``: the vocabulary file, at the same place on
     every executor."""
     added = ["n_bytes", "n_tokens", "steps"]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
+    kept = without(df.columns if keep is None else keep, added)
     schema = T.StructType([*df.select(*kept).schema.fields, *map(T.StructField, added, (T.LongType(), T.LongType(), T.BinaryType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +300,7 @@ def prefix_counts(df: DataFrame, text: str, path: str, keep: list[str] | None =
             totals = pa.array([int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], sizes, totals, pa.array(steps, pa.binary())], [*kept, *added])
 
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(count, schema)
+    return df.select(*kept, F.col(text).alias(fresh("_text", kept))).mapInArrow(count, schema)
 
 
 def tokens_at(steps: bytes, characters: int) -> int:

@@ -6,33 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_texts, packing, quality, toxicity
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, fresh, masked, table
 from tidemark.llm.queries import QUALITY_AT, TOXIC_AT, vocabulary_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, column="_score").where(F.col("_score") >= QUALITY_AT).drop("_score")
+    """The rows that the quality classifier does not reject, unchanged, null and empty texts judged like others."""
+    score = fresh("_score", docs.columns)
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), column=score)
+    return scored.where(F.col(score) >= QUALITY_AT).drop(score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, column="_score").where(F.col("_score") < TOXIC_AT).drop("_score")
+    """The rows that the toxicity classifier does not reject, unchanged, null and empty texts judged like others."""
+    score = fresh("_score", docs.columns)
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), column=score)
+    return scored.where(F.col(score) < TOXIC_AT).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows that share an id, one; rows without an id stay."""
-    kept = near_texts.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*")
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies stays, that of the smallest doc_id; rows without words all stay.
+    Every row is a document of its own here, whether or not it has an id or shares one."""
+    inner, name = masked(docs)
+    order = [F.col(name["doc_id"]).asc_nulls_last(), F.crc32(F.coalesce(F.col(name["text"]), F.lit("")))]
+    rows = cut(inner.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    kept = near_texts.near_duplicates(rows, id_col="_row", text=name["text"]).where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*inner.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document and pass over its source, with the words that the mix takes of it; every other column is
+    the row's own (n_chars is counted again). Rows without words are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row and their places in sequences."""
     return packing.pack_documents(docs, vocabulary_path(), 2048)
 
 

@@ -175,12 +175,12 @@ def test_folded_decision_function():
     """The table gives what kernel values with the landmarks, times the support vector machine's weights, give."""
     rng = np.random.default_rng(5)
     calm = ["table", "window", "garden", "river", "music", "paper", "house", "green", "of", "the"]
-    toxic = [{*rng.choice(calm, 4), w} for w in ["idiot", "moronic", "ugh"] * 20]
+    toxic = [" ".join([*rng.choice(calm, 4, replace=False), w]) for w in ["idiot", "moronic", "ugh"] * 20]
     kept = {}
     solve = toxicity.svm
     try:
         toxicity.svm = lambda x, y, c: kept.setdefault("w", []).append(solve(x, y, c)) or kept["w"][-1]
-        model = toxicity.fit_units(toxic, [set(rng.choice(calm, 5)) for _ in range(60)])
+        model = toxicity.fit_units(toxic, [" ".join(rng.choice(calm, 5, replace=False)) for _ in range(60)])
     finally:
         toxicity.svm = solve
     w, bias = kept["w"][-1]

@@ -221,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positive
     taught = sample(docs, labels, label, max_positives, each=True).where("label = 1")
     pos = np.array(sorted(r.x for r in taught.select("text").mapInArrow(measure, "x array<double>").collect()))  # bounded
     every = cut(docs.select("text").mapInArrow(measure, "x array<double>"))
-    return fit_features(pos.reshape(-1, len(FEATURES)), Pool(every), prior)
+    model = fit_features(pos.reshape(-1, len(FEATURES)), Pool(every), prior)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, column: str = "score") -> DataFrame:

@@ -47,7 +47,7 @@ from tidemark.llm.labelled import held_out, sample
 
 ORDER, DECAY, WIDTH, STRIDE = 4, 0.8, 12, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 32
-MAX_TEXTS, MAX_WORDS, MAX_LABELLED, MAX_UNITS = 1_000, 20_000, 20_000, 25_000
+MAX_TEXTS, MAX_WORDS, MAX_LABELLED, MAX_UNITS = 1_000, 5_000, 20_000, 25_000
 FILL = "\0"
 #: The largest table of pairs of pairs that is looked up by place (4 bytes an entry); larger ones are searched.
 MAX_TABLE = 1 << 22
@@ -300,9 +300,21 @@ def altered(unit: str, rng: np.random.Generator) -> str:
     return unit[:at] + "-._*'xe"[rng.integers(0, 7)] + unit[at:]
 
 
-def fit_units(toxic: list[set[str]], other: list[set[str]]) -> ToxicityModel | None:
-    """The unit model from the words of texts of either label; None where it has nothing to learn from."""
-    sets = [[{w for t in x for w in windows(t) if len(w) >= ORDER} for x in texts] for texts in (toxic, other)]
+def fit_units(toxic: list[str], other: list[str]) -> ToxicityModel | None:
+    """The unit model from texts of either label, each its distinct words with blanks between; None where it has
+    nothing to learn from."""
+    read: dict[str, list[str]] = {}  # texts share the units of their words
+
+    def units_of(words: str) -> set[str]:
+        own: set[str] = set()
+        for t in words.split(" "):
+            if t not in read:
+                read[t] = [w for w in windows(t) if len(w) >= ORDER]
+            own.update(read[t])
+        return own
+
+    sets = [[units_of(x) for x in texts] for texts in (toxic, other)]
+    read.clear()
     seen = [Counter(w for s in own for w in s) for own in sets]
     n_t, n_o = max(1, len(toxic)), max(1, len(other))
     least = 2 if n_t < 200 else 3
@@ -359,17 +371,23 @@ def fit_units(toxic: list[set[str]], other: list[set[str]]) -> ToxicityModel | N
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int = MAX_TEXTS, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     labels = labels.where(~held_out(F.col("doc_id")))
 
+    def some(own: set[str], seed: int) -> list[str] | set[str]:
+        if len(own) <= MAX_WORDS:
+            return own
+        return heapq.nsmallest(MAX_WORDS, own, key=lambda w: (zlib.crc32(w.encode(), seed & 0xFFFFFFFF), w))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [heapq.nsmallest(MAX_WORDS, tokens(t), key=lambda w: (zlib.crc32(w.encode()), w)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.string()))], ["label", "words"])
+            own = [" ".join(sorted(some(tokens(t), len(t)))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.string())], ["label", "words"])
         give_back()
 
-    taught = sample(docs, labels, label, max_texts, each=True).select("label", "text").mapInArrow(words, "label int, words array<string>").collect()  # bounded
-    texts = [sorted((sorted(r.words) for r in taught if r.label == y)) for y in (1, 0)]
+    taught = sample(docs, labels, label, max_texts, each=True).select("label", "text").mapInArrow(words, "label int, words string").collect()  # bounded
+    texts = [sorted(r.words for r in taught if r.label == y) for y in (1, 0)]
     del taught
-    unit_model = fit_units(*[[set(x) for x in own] for own in texts])
+    unit_model = fit_units(*texts)
     del texts
+    give_back()
     counts = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     if unit_model is None:
         return constant(counts.get(1, 0) / max(1, sum(counts.values())))
@@ -385,6 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int
 
     rows = sample(docs, labels, label, max_labelled).select("id", "label", "text").mapInArrow(measure, "id long, label int, x array<double>")
     got = sorted((r.id, r.label, tuple(r.x)) for r in rows.collect())  # bounded by max_labelled
+    give_back()
     weights, offset = logistic(np.array([x for *_, x in got]), np.array([y for _, y, _ in got], float))
     return ToxicityModel(unit_model.landmarks, unit_model.table, unit_model.bias, weights, offset)
 

@@ -47,7 +47,7 @@ from tidemark.llm.labelled import held_out, sample
 
 ORDER, DECAY, WIDTH, STRIDE = 4, 0.8, 12, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 32
-MAX_TEXTS, MAX_WORDS, MAX_LABELLED, MAX_UNITS = 1_000, 5_000, 20_000, 25_000
+MAX_TEXTS, MAX_WORDS, MAX_LABELLED, MAX_UNITS = 1_000, 2_000, 20_000, 25_000
 FILL = "\0"
 #: The largest table of pairs of pairs that is looked up by place (4 bytes an entry); larger ones are searched.
 MAX_TABLE = 1 << 22

@@ -142,11 +142,31 @@ def structure(url: Column) -> Column:
     return with_query(F.concat(scheme(url), F.lit("://"), host(url), body), sorted_keys(url), "=", "=&")
 
 
+def similar_path(url: Column) -> Column:
+    """The path with digit runs as ``{num}``; after ``-`` or ``_`` and as a whole segment before another, ``{id}``."""
+    x = F.regexp_replace(path(url), r"\d+", "{num}")
+    x = F.regexp_replace(F.regexp_replace(x, r"-\{num\}", "-{id}"), r"_\{num\}", "_{id}")
+    return F.regexp_replace(x, r"/\{num\}/", "/{id}/")
+
+
+def similar_structure(url: Column) -> Column:
+    """struct(structure, hash, type): scheme, host, similar path and the sorted parameter names; MD5 of it; ``path`` if the
+    path has variable parts, else ``param`` if there are parameters, else ``normal``."""
+    p, names = similar_path(url), sorted_keys(url)
+    whole = with_query(F.concat(scheme(url), F.lit("://"), host(url), p), names, "=", "=&")
+    kind = F.when(p.rlike(r"\{(num|id)\}"), "path").when(F.size(names) > 0, "param").otherwise("normal")
+    return F.struct(whole.alias("structure"), F.md5(whole).alias("hash"), kind.alias("type"))
+
+
 def similar_pattern(url: Column) -> Column:
-    """Digits after a mark or between slashes become ``{id}``, other digit runs ``{num}``."""
-    x = F.regexp_replace(url, r"([-_])\d+", "$1{id}")
-    x = F.regexp_replace(x, r"/\d+/", "/{id}/")
-    return F.regexp_replace(x, r"\d+", "{num}")
+    return similar_structure(url)["structure"]
+
+
+def joined_values(url: Column) -> Column:
+    """The first value of each name, by sorted names, joined by ``|``; empty without parameters."""
+    own = params(url)
+    first = F.transform(sorted_keys(url), lambda n: F.get(F.filter(own, lambda p: p["k"] == n), F.lit(0))["v"])
+    return F.array_join(F.transform(first, lambda v: F.coalesce(v, F.lit(""))), "|")
 
 
 def both_schemes(url: Column) -> Column:

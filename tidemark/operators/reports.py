@@ -31,6 +31,23 @@ def in_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_semi")
 
 
+def adaptive_target(df: DataFrame, key: str, order: list[str], status: Column, response_ms: Column, finds: list[Column]) -> DataFrame:
+    """``df`` with target: by how much a key's worth should change after each of its rows, from all rows so far: the
+    share that succeeded (below 0.5: -10, above 0.9: +5), what was found by row (above 0.5: +10, below 0.1: -5) and
+    the mean time (above 5 s: -3)."""
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    each = finds[0].cast("int")
+    for x in finds[1:]:
+        each = each + x.cast("int")
+    good = F.avg(status.between(200, 299).cast("int")).over(so_far)
+    found = F.sum(each).over(so_far) / F.count("*").over(so_far)
+    target = (
+        F.when(good < 0.5, -10).when(good > 0.9, 5).otherwise(0) + F.when(found > 0.5, 10).when(found < 0.1, -5).otherwise(0)
+        + F.when(F.avg(response_ms).over(so_far) > 5000, -3).otherwise(0)
+    )
+    return df.withColumn("target", target.cast("double"))
+
+
 def moving_adjustment(df: DataFrame, key: str, order: list[str], target: Column, rate: float = 0.1, bound: float = 20.0) -> DataFrame:
     """(key, n, adjustment): adj += (target - adj) * rate in order, kept within the bound; a fold over each key's
     own rows, gathered in order."""
@@ -65,8 +82,8 @@ def recent_mean(df: DataFrame, key: str, order: list[str], value: str, rows: int
 
 
 def chains(redirects: DataFrame, most: int = 10) -> DataFrame:
-    """(original, final, hops): follow (original -> final) until no redirect is left, at most ``most`` hops. Both
-    sides are doubled in a loop of joins, so hops grow by powers of two."""
+    """(original, final, hops): follow (original -> final) until no redirect is left, at most ``most`` hops, one join a
+    hop."""
     step = redirects.groupBy("original").agg(F.min("final").alias("final")).where("original <> final")
     paths = step.select("original", "final", F.lit(1).alias("hops"))
     for _ in range(most - 1):

@@ -22,7 +22,7 @@ def histogram(seq: Column) -> Column:
 
 
 def struct_hash(seq: Column) -> Column:
-    """MD5 of the number of tags and the sorted tag histogram."""
+    """MD5 of the number of tags and the sorted tag histogram, without the tree (``trees.signature`` has that)."""
     counts = F.transform(F.array_sort(F.array_distinct(seq)), lambda t: F.concat(t, F.lit(":"), F.size(F.filter(seq, lambda x: x == t)).cast("string")))
     return F.md5(F.concat(F.size(seq).cast("string"), F.lit("|"), F.array_join(counts, ",")))
 

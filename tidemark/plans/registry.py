@@ -114,7 +114,8 @@ _CANON = "scheme||'://'||regexp_replace(regexp_replace(lower(host),':80$',''),':
 _KT, _KS = KEPT.format(lst(urls.TRACKING)), KEPT.format(lst(urls.SESSION))
 _scalar("canonical", urls.canonical, f"CASE WHEN len({_KT})>0 THEN {_CANON}||'?'||array_to_string({_KT},'&') ELSE {_CANON} END")
 _scalar("without_session", urls.without_session, f"CASE WHEN len({_KS})>0 THEN base||'?'||array_to_string({_KS},'&') ELSE base END")
-_scalar("similar_pattern", urls.similar_pattern, "regexp_replace(regexp_replace(regexp_replace(url,'([-_])\\d+','\\1{id}','g'),'/\\d+/','/{id}/','g'),'\\d+','{num}','g')")
+_SIMILAR = "regexp_replace(regexp_replace(regexp_replace(path,'\\d+','{num}','g'),'([-_])\\{num\\}','\\1{id}','g'),'/\\{num\\}/','/{id}/','g')"
+_scalar("similar_pattern", urls.similar_pattern, f"scheme||'://'||host||{_SIMILAR}||CASE WHEN len(names)>0 THEN '?'||array_to_string(names,'=&')||'=' ELSE '' END")
 _scalar("main_domain", urls.main_domain, "array_to_string(list_slice(str_split(hostname,'.'),-2,-1),'.')")
 _scalar("base_domain", urls.base_domain, "CASE WHEN regexp_matches(hostname,'\\.(com|net|org|gov|edu|co|ac|ne|or)\\.(cn|jp)$') THEN array_to_string(list_slice(str_split(hostname,'.'),-3,-1),'.') ELSE array_to_string(list_slice(str_split(hostname,'.'),-2,-1),'.') END")
 _scalar("both_schemes", lambda u: F.array_join(urls.both_schemes(u), " "), "CASE WHEN scheme IN ('http','https') THEN 'http://'||regexp_replace(url,'^[A-Za-z]+://','')||' https://'||regexp_replace(url,'^[A-Za-z]+://','') ELSE url END")
@@ -243,11 +244,21 @@ def cap_by_type(spark, sf_dir):
     return dedup.capped(r, [urls.limiter_pattern(u)], ["ts", "event_id"], dedup.type_limit(F.col("kind"))).select("event_id", "kind")
 
 
-@query(f"{Q}, v AS (SELECT *, regexp_extract(pairs[1], '^[^=]*=(.*)$', 1) AS v FROM k WHERE len(pairs)>0), c AS (SELECT *, {VCLASS} AS class FROM v), d AS (SELECT *, row_number() OVER (PARTITION BY {PATTERN}, class ORDER BY ts, event_id) AS n FROM c) SELECT event_id, class FROM d WHERE n<=3")
+_FIRST = "regexp_extract(list_filter(pairs, lambda p: split_part(p,'=',1)=n)[1],'^[^=]*=?(.*)$',1)"
+
+
+@query(
+    f"{Q}, v AS (SELECT *, array_to_string(list_transform(names, lambda n: url_decode({_FIRST})),'|') AS v FROM k), c AS (SELECT *, {VCLASS} AS class FROM v), "
+    "d AS (SELECT *, row_number() OVER (PARTITION BY base||'?'||array_to_string(names,'&'), class ORDER BY ts, event_id) AS n FROM c) "
+    "SELECT event_id, CASE WHEN v='' THEN '' ELSE class END AS class FROM d WHERE n<=3 OR v=''"
+)
 def cap_by_value_class(spark, sf_dir):
+    """Three rows of a pattern for each class of its joined values; rows without values all pass."""
     u = F.col("url")
-    r = requests(spark, sf_dir).where(F.size(urls.pairs(u)) > 0).withColumn("class", scores.value_class(F.regexp_extract(F.get(urls.pairs(u), F.lit(0)), r"^[^=]*=(.*)$", 1)))
-    return dedup.capped(r, [urls.param_pattern(u), F.col("class")], ["ts", "event_id"], F.lit(3)).select("event_id", "class")
+    r = requests(spark, sf_dir).withColumn("values", urls.joined_values(u))
+    free = r.where("values = ''").select("event_id", F.lit("").alias("class"))
+    r = r.where("values <> ''").withColumn("class", scores.value_class(F.col("values")))
+    return dedup.capped(r, [urls.name_pattern(u), F.col("class")], ["ts", "event_id"], F.lit(3)).select("event_id", "class").unionByName(free)
 
 
 @query(None)
@@ -402,10 +413,21 @@ def links_in_both(spark, sf_dir):
     return reports.in_both(r.where("user_id % 3 = 0").select("url").distinct(), r.where("user_id % 2 = 0"), "url")
 
 
-@query(None)
+_RUNNING = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(
+    f"WITH r AS (SELECT *, count(*) {_RUNNING} AS n, sum(CASE WHEN event_type<>'error' THEN 1 ELSE 0 END) {_RUNNING} AS good, "
+    f"sum(CASE WHEN event_type IN ('click','signup','purchase') THEN 1 ELSE 0 END) {_RUNNING} AS found, avg(value*100) {_RUNNING} AS ms FROM events), "
+    "t AS (SELECT *, CAST((CASE WHEN good/n<0.5 THEN -10 WHEN good/n>0.9 THEN 5 ELSE 0 END) + (CASE WHEN found/n>0.5 THEN 10 WHEN found/n<0.1 THEN -5 ELSE 0 END) "
+    "+ (CASE WHEN ms>5000 THEN -3 ELSE 0 END) AS DOUBLE) AS t FROM r), l AS (SELECT user_id, count(*) AS n, list(t ORDER BY ts, event_id) AS ts FROM t GROUP BY user_id) "
+    "SELECT user_id, CAST(n AS INTEGER) AS n, round(list_reduce(list_prepend(0.0::DOUBLE, ts), lambda a, t: greatest(-20, least(20, a+(t-a)*0.1))),6) AS adjustment FROM l"
+)
 def adaptive_adjustment(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return reports.moving_adjustment(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "error", -10.0).otherwise(F.col("value")))
+    """The request log by user as patterns: errors fail, clicks, signups and purchases find links, forms and interfaces."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    e = reports.adaptive_target(e, "user_id", ["ts", "event_id"], F.when(kind == "error", 500).otherwise(200), F.col("value") * 100, [kind == "click", kind == "signup", kind == "purchase"])
+    return reports.moving_adjustment(e, "user_id", ["ts", "event_id"], F.col("target"))
 
 
 @query(None)

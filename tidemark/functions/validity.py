@@ -120,10 +120,18 @@ def clean_path(path: Column) -> Column:
     return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
 
 
+def any_path(url: Column) -> Column:
+    """The path of a whole or relative address; empty where a scheme is followed by no path (``mailto:x``)."""
+    return (
+        F.when(urls.scheme(url) != "", urls.path(url)).when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "")
+        .when(url.startswith("//"), F.regexp_extract(url, r"^//[^/?#]*([^?#]*)", 1)).otherwise(F.regexp_extract(url, r"^([^?#]*)", 1))
+    )
+
+
 def denied(url: Column) -> Column:
     """Why the deny-list refuses an address; empty if it is let through."""
     text = F.trim(url)
-    low, path = F.lower(text), urls.path(url)
+    low, path = F.lower(text), any_path(url)
     bare = (path == "") & (urls.query(url) == "") & (urls.fragment(url) == "")
     encoded = F.regexp_count(url, F.lit(r"%[0-9A-Fa-f]{2}")) * 3 / F.octet_length(url)
     after = F.regexp_replace(url, r"^.*?://", "")
@@ -138,8 +146,8 @@ def denied(url: Column) -> Column:
         (F.octet_length(url) > MOST_BYTES, "too long"),
         (text.rlike(r"^[#?&=\-_./:\\]*$"), "symbols only"),
         (low.rlike(r"^(javascript|data|blob|about|vbscript|file):"), "scheme"),
-        (bare & (urls.host(url) != ""), ""),
-        (bare & (urls.scheme(url) != ""), "no path"),
+        (bare & ((urls.host(url) != "") | url.rlike("^//[^/]")), ""),
+        (bare, "no path"),
         (url.rlike(SCRIPT_CODE), "script code"),
         (contains_any(url, ["===", "!==", "&&", "||"]), "script operator"),
         (url.rlike(HTML_TAG), "html tag"),
@@ -153,7 +161,7 @@ def denied(url: Column) -> Column:
 
 def allowed(url: Column) -> Column:
     """Whether the allow-list lets an address through: a telling word, a page's ending or two segments, and no code."""
-    path = F.when(urls.path(url) == "", "/").otherwise(urls.path(url))
+    path = F.when(any_path(url) == "", "/").otherwise(any_path(url))
     inner = F.regexp_replace(path, r"^/+|/+$", "")
     low = F.lower(inner)
     words = [w.lower() for w in PATH_WORDS]

@@ -7,6 +7,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.validity import any_of
+from tidemark.operators.leak_rules import CATALOGUE
+
+Rules = list[tuple[str, str, str, bool]]
+#: A table of rules may have so many; each is a pass over every text.
+MAX_RULES = 1_000
+
 SCHEMA = "name string, pattern string, severity string, mask boolean"
 
 #: The scan's own rules; ``rules_from_json`` reads others.
@@ -47,21 +54,63 @@ def rules_from_json(spark: SparkSession, text: str, strict: bool = False, base:
     return out if base is None else base.join(out, "name", "left_anti").unionByName(out)
 
 
+def rules_from_records(records: list[dict], strict: bool = False) -> Rules:
+    """Rules of a rule repository, one record a pattern with ``category``, ``name`` and ``regex``: the severity and
+    whether to mask follow from the category and the name."""
+    out = []
+    for r in records:
+        name, category, pattern = str(r.get("name") or ""), str(r.get("category") or ""), r.get("regex") or r.get("pattern") or ""
+        pattern = pattern if strict else pattern.rstrip("\n")
+        if not pattern:
+            continue
+        words = f"{category} {name}".lower()
+        severity = "HIGH" if any(w in words for w in ("key", "token", "secret", "password", "credential", "private")) else "LOW" if any(w in words for w in ("mail", "url", "phone", "misc", "ip")) else "MEDIUM"
+        out.append((f"{category} - {name}" if category else name, pattern, severity, severity == "HIGH"))
+    return out
+
+
+def catalogue(strict: bool = False) -> Rules:
+    """The whole list of rules. A trailing line feed, which no line has, is stripped unless ``strict``."""
+    return [(n, p if strict else p.rstrip("\n"), s, m) for n, p, s, m in CATALOGUE]
+
+
+def usable(spark: SparkSession, rules: Rules | DataFrame) -> Rules:
+    """The rules whose patterns can be compiled; a table of rules is read to the driver, up to MAX_RULES."""
+    if isinstance(rules, DataFrame):
+        rules = [tuple(r) for r in rules.select("name", "pattern", "severity", "mask").limit(MAX_RULES + 1).collect()]
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    compiled, pattern = [], spark._jvm.java.util.regex.Pattern
+    for rule in rules:
+        try:
+            pattern.compile(rule[1])
+        except Exception:  # noqa: S112  (what cannot be a pattern finds nothing)
+            continue
+        compiled.append(rule)
+    return compiled
+
+
 def mask(value: Column) -> Column:
     n = F.length(value)
     return F.when(n <= 8, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(value, F.lit(4)), F.repeat(F.lit("*"), n - 8), F.right(value, F.lit(4))))
 
 
-def _matches(line: Column, name: str, pattern: str, severity: str, masked: bool) -> Column:
-    found = F.when(line.rlike(pattern), F.regexp_extract_all(line, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _matches(hit: Column, line: Column, name: str, pattern: str, severity: str, masked: bool) -> Column:
+    found = F.when(hit & line.rlike(pattern), F.regexp_extract_all(line, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return F.transform(found, lambda v: F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), v.alias("full_value"), (mask(v) if masked else v).alias("value")))
 
 
-def scan(df: DataFrame, id_col: str, text: str, rules: list[tuple[str, str, str, bool]] = RULES) -> DataFrame:
-    """(id, type, severity, line_no, full_value, value). One pass over the lines: those that no rule can match
-    are dropped by a test of each pattern before anything is exploded."""
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    hits = F.flatten(F.array(*[_matches(F.col("line"), *rule) for rule in rules]))
+def scan(df: DataFrame, id_col: str, text: str, rules: Rules | DataFrame = RULES) -> DataFrame:
+    """(id, type, severity, line_no, full_value, value). Whole texts are tested first, and only those that a rule can
+    match are cut into lines, on which only the rules are tried that hit their text. Rules that are no patterns
+    are skipped; a null text has no lines."""
+    rules = usable(df.sparkSession, rules)
+    if not rules:
+        return df.sparkSession.createDataFrame([], df.select(F.col(id_col).alias("id")).schema.simpleString()[7:-1] + ", type string, severity string, line_no int, full_value string, value string")
+    whole = [F.col("_text").rlike("(?m)" + p) for _, p, _, _ in rules]
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("_text")).where(any_of(whole)).withColumn("_hit", F.array(*whole))
+    lines = texts.select("id", "_hit", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
+    hits = F.flatten(F.array(*[_matches(F.get("_hit", F.lit(i)), F.col("line"), *rule) for i, rule in enumerate(rules)]))
     found = lines.select("id", (F.col("pos") + 1).alias("line_no"), F.explode(hits).alias("h"))
     return found.select("id", "h.type", "h.severity", "line_no", "h.full_value", "h.value")
 

@@ -101,3 +101,20 @@ def layers(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         front = nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(front)
     return seen
+
+
+def union_of(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, sources): every distinct key of the named tables, and how many of them have it."""
+    every = None
+    for name, df in sources.items():
+        own = df.select(F.col(key), F.lit(name).alias("_s"))
+        every = own if every is None else every.unionByName(own)
+    return every.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("_s").alias("sources"))
+
+
+def shares(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """(name, total, n, share) of each flag over all rows, in one pass; the share of no rows is 0."""
+    one = df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(flags.values())])
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"n{i}").alias("n")) for i, k in enumerate(flags)])
+    out = one.select("total", F.explode(each).alias("x"))
+    return out.select("x.name", "total", "x.n", F.round(F.when(F.col("total") > 0, F.col("x.n") / F.col("total")).otherwise(0.0), 6).alias("share"))

@@ -9,12 +9,16 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Elements that hold nothing, and those that only stand in a page's head.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 IN_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript"}
 
 
+SIGNATURE = StructType([*(StructField(n, IntegerType()) for n in ("depth", "nodes", "links", "forms", "inputs")), StructField("struct_hash", StringType())])
+
+
 class _Outline(HTMLParser):
     """(depth, tag) of every element in order. html, head and body are there whether or not they are written."""
 
@@ -66,7 +70,7 @@ def outline(html: str | None) -> list[tuple[int, str]]:
     return parser.nodes
 
 
-@F.pandas_udf("depth int, nodes int, links int, forms int, inputs int, struct_hash string")
+@F.pandas_udf(SIGNATURE)
 def signature(html: pd.Series) -> pd.DataFrame:
     """Depth, numbers of elements, links, forms and inputs, and the MD5 of these with the sorted tag histogram."""
     rows = []

@@ -85,3 +85,25 @@ def graphql_fields(df: DataFrame, text: str = "value") -> DataFrame:
     schema = "data STRUCT<__schema: STRUCT<types: ARRAY<STRUCT<name: STRING, kind: STRING, fields: ARRAY<STRUCT<name: STRING, type: STRUCT<name: STRING, kind: STRING>>>>>>>"
     types = df.select(F.explode(F.from_json(text, schema)["data"]["__schema"]["types"]).alias("t")).where(~F.col("t.name").startswith("__"))
     return types.select(F.col("t.name").alias("type"), F.col("t.kind").alias("kind"), F.explode_outer("t.fields").alias("f")).select("type", "kind", F.col("f.name").alias("field"), F.coalesce("f.type.name", "f.type.kind").alias("field_type"))
+
+
+def site_addresses(maps: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, origin): all addresses of sitemaps and robots files (each with a column url), repeats kept."""
+    return maps.select("url", F.lit("sitemap").alias("origin")).unionByName(rules.select("url", F.lit("robots").alias("origin")))
+
+
+def detected_urls(spark: SparkSession, path: str) -> DataFrame:
+    """Addresses of a saved domain report: the JSON object's ``detected_urls`` and ``undetected_urls``, whose entries
+    are objects with ``url`` or arrays that begin with it."""
+    body = spark.read.text(path, wholetext=True)
+    objects = F.from_json("value", "detected_urls ARRAY<STRUCT<url: STRING>>")["detected_urls"]
+    lists = F.from_json("value", "undetected_urls ARRAY<ARRAY<STRING>>")["undetected_urls"]
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce(F.transform(objects, lambda x: x["url"]), none), F.coalesce(F.transform(lists, lambda x: F.get(x, F.lit(0))), none))
+    return body.select(F.explode(both).alias("url")).where("url is not null")
+
+
+def targets(spark: SparkSession, path: str, per_target: int | None = None) -> DataFrame:
+    """(target): the distinct addresses of a batch list, spread by target over ``per_target`` partitions."""
+    out = url_list(spark, path).where("url is not null").select(F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise(F.concat(F.lit("http://"), "url")).alias("target")).distinct()
+    return out.repartition(per_target, "target") if per_target else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,3 +50,37 @@ def moving_adjustment(stream: DataFrame, key: str, value: str, rate: float = 0.1
 def windowed_counts(stream: DataFrame, ts: str, dims: list[str], width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Request statistics per window; an addition of this library."""
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width), *dims).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *dims, "n")
+
+
+def filtered_lines(spark: SparkSession, source: str, target: str, keep: Column, checkpoint: str, per_batch: int = 100):
+    """A running query from a folder of URL lists to a folder of those that ``keep`` (over ``value``) holds for, at most
+    ``per_batch`` files a time, which bounds the rate."""
+    lines = spark.readStream.option("maxFilesPerTrigger", per_batch).text(source)
+    kept = lines.select(F.trim("value").alias("value")).where((F.col("value") != "") & keep)
+    return kept.writeStream.format("text").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_rows(stream: DataFrame, order: list[str], most: int, path: str, checkpoint: str):
+    """A running query that keeps the ``most`` latest rows by ``order`` as Parquet: after each micro-batch what was kept
+    and what came are ranked anew. Two folders take turns, so what is read is never overwritten."""
+    columns = [F.col(c).desc() for c in order]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark, rows = batch.sparkSession, batch
+        if number > 0:
+            rows = spark.read.schema(batch.schema).parquet(f"{path}/{(number - 1) % 2}").unionByName(batch)
+        rows.orderBy(*columns).limit(most).write.mode("overwrite").parquet(f"{path}/{number % 2}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def in_batches(stream: DataFrame, process, checkpoint: str):
+    """A running query that hands each micro-batch and its number to ``process`` once."""
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def next_rate(rate: float, errors_in_row: int, successes_in_row: int, least: float = 10, most: float = 200, step: float = 10, errors: int = 5, successes: int = 50) -> float:
+    """The request rate after a result: a step less after so many errors in a row, a step more after so many successes."""
+    if errors_in_row and errors_in_row % errors == 0:
+        return max(least, rate - step)
+    return min(most, rate + step) if successes_in_row and successes_in_row % successes == 0 else rate

@@ -30,6 +30,24 @@ MIME_SUBTYPES = [
 MOST_BYTES, MOST_ENCODED = 500, 0.4
 TEMPLATE_MARKS = ["{{", "}}", "[[", "]]", "<%", "%>", "<?", "?>"]
 
+# What the quality filter refuses: words of scripts and styles, media types, code, symbols and encodings.
+QUALITY_SCRIPT = """function return var let const if else for while do switch case break continue try catch finally throw new this super
+class extends static async await yield window document console typeof instanceof undefined null true false NaN Infinity get post put
+delete patch head options prototype constructor arguments length push pop shift unshift splice slice concat join split map filter
+reduce forEach""".split()
+QUALITY_STYLE = """margin padding border color background width height display position top left right bottom flex grid font text rgba rgb
+hsl hsla auto none center inherit initial unset relative absolute fixed sticky hidden visible inline block""".split()
+QUALITY_MIME = ["application/json", "application/xml", "text/html", "text/plain", "image/png", "image/jpeg", "video/mp4"]
+QUALITY_CODE = [
+    r"\bfunction\s*\(", r"=>\s*[{(]", r"\b(var|let|const)\s+\w+\s*=", r"===|!==", r"&&|\|\|", r"console\.(log|warn|error)",
+    r"\.(push|pop|splice|concat|join|split)\(", r"\.(forEach|map|filter|reduce)\(", r"</?[a-zA-Z][a-zA-Z0-9]*[^>]*>", r"^\([^)]*\)$",
+    r"^\{[^}]*\}$", r"^\[[^\]]*\]$", r"^/[^/]+/[gimuy]*$",
+]
+QUALITY_SYMBOLS = [r"^[#?&=\-_./:\\|~!@$%^*()+\[\]{}]+$", r"^\d+$", r"^#[0-9A-Fa-f]{3,8}$", r"^[a-zA-Z]$"]
+QUALITY_ENCODED = [r"\\x[0-9A-Fa-f]{2}", r"\\u[0-9A-Fa-f]{4}", r"&#\d+;", r"&[a-z]+;", "%"]
+QUALITY_MARKS = ["]}", "[{", "})", "({"]
+QUALITY_QUOTES = ['""', "''", "``"]
+
 # What the allow-list validator knows.
 PATH_MIME = [
     "application/", "text/", "image/", "video/", "audio/", "font/", "multipart/", "vnd.ms-excel", "vnd.ms-office",
@@ -159,6 +177,21 @@ def denied(url: Column) -> Column:
     ])
 
 
+def quality_reason(url: Column) -> Column:
+    """Why a link is no address worth keeping; empty if nothing speaks against it."""
+    t = F.trim(url)
+    low = F.lower(t)
+    encoded = reduce(lambda x, y: x + y, [F.regexp_count(url, F.lit(p)) for p in QUALITY_ENCODED]) * 3 / F.octet_length(url)
+    control = F.regexp_count(url, F.lit(r"\p{Cc}"))
+    return first_reason([
+        (url.isNull() | (F.octet_length(t) < 2), "too short"), (F.octet_length(t) > MOST_BYTES, "too long"),
+        (low.isin(QUALITY_SCRIPT), "script word"), (low.isin(QUALITY_STYLE) | low.rlike("^(" + "|".join(QUALITY_STYLE) + ")-"), "style property"),
+        (low.isin(QUALITY_MIME), "mime type"), (any_of([url.rlike(p) for p in QUALITY_CODE]), "code"), (any_of([t.rlike(p) for p in QUALITY_SYMBOLS]), "symbols"),
+        (encoded > MOST_ENCODED, "too much encoding"), (control / F.length(url) > 0.2, "control characters"), (F.length(url) - control < 2, "too few characters"),
+        (contains_any(url, QUALITY_MARKS), "code structure"), (contains_any(url, QUALITY_QUOTES), "empty quotes"),
+    ])
+
+
 def allowed(url: Column) -> Column:
     """Whether the allow-list lets an address through: a telling word, a page's ending or two segments, and no code."""
     path = F.when(any_path(url) == "", "/").otherwise(any_path(url))

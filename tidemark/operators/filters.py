@@ -111,21 +111,6 @@ def valid_url(url: Column) -> Column:
     return url.isNotNull() & (n >= 2) & (n <= 2048) & ~F.lower(F.regexp_extract(url, r"^([A-Za-z]+):", 1)).isin(DENIED_SCHEMES) & ~url.rlike(r"\s") & ~url.rlike(r"^[^A-Za-z0-9]+$")
 
 
-def quality_reason(url: Column) -> Column:
-    """Why a link is no address, or null. Ratios are over characters."""
-    t = F.trim(url)
-    n = F.length(t)
-    encoded = F.regexp_count(t, F.lit(r"%[0-9A-Fa-f]{2}")) * 3 / n
-    return (
-        F.when(url.isNull() | (F.octet_length(t) < 2), "too short").when(F.octet_length(t) > 500, "too long")
-        .when(F.lower(t).isin(JS_WORDS), "js word").when(F.lower(t).isin(CSS_WORDS), "css word")
-        .when(t.rlike(r"function\s*\(|=>|===|!==|\bvar\s|\breturn\s|\bnew\s"), "code").when(t.rlike(r"</?[a-zA-Z][^>]*>"), "html")
-        .when(t.rlike(r"^[^A-Za-z0-9]+$"), "symbols").when(encoded > 0.4, "encoded")
-        .when(F.regexp_count(t, F.lit(r"[\x00-\x1F]")) / n > 0.2, "control characters")
-        .when(F.regexp_count(t, F.lit(r"\(")) != F.regexp_count(t, F.lit(r"\)")), "brackets").when(t.rlike(r"[\"']"), "quotes")
-    )
-
-
 def login_url(url: Column) -> Column:
     # Parts of login addresses.
     words = ["/login", "/signin", "/auth/", "/account/login", "/user/login", "/sso/", "/oauth/", "login.php", "signin.php", "auth.php"]

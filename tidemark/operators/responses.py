@@ -24,9 +24,10 @@ def request_key(method: Column, url: Column, params: Column) -> Column:
 
 
 def response_likeness(a: Column, b: Column) -> Column:
-    """0.3 status, 0.3 length, 0.3 body, 0.1 title, of structs (status, length, hash, title); a title that both
-    lack has no weight, and the rest is scaled up."""
-    length = 1 - F.abs(a["length"] - b["length"]) / F.greatest(a["length"], b["length"], F.lit(1))
+    """0.3 status, 0.3 length (whole where they differ by less than 50 bytes), 0.3 body, 0.1 title, of structs
+    (status, length, hash, title); a title that both lack has no weight, and the rest is scaled up."""
+    apart = F.abs(a["length"] - b["length"])
+    length = F.when(apart < 50, 1.0).otherwise(1 - apart / F.greatest(a["length"], b["length"], F.lit(1)))
     base = 0.3 * (a["status"] == b["status"]).cast("int") + 0.3 * length + 0.3 * (a["hash"] == b["hash"]).cast("int")
     none = (a["title"] == "") & (b["title"] == "")
     return F.when(none, base / 0.9).otherwise(base + 0.1 * (a["title"] == b["title"]).cast("int"))
@@ -37,7 +38,7 @@ def until_alike(df: DataFrame, key: str, order: list[str], like: Column, runs: i
     w = Window.partitionBy(key).orderBy(*order)
     island = F.sum(F.when(like, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("_island", island)
-    out = out.withColumn("_run", F.row_number().over(Window.partitionBy(key, "_island").orderBy(*order)) - 1)
+    out = out.withColumn("_run", F.row_number().over(Window.partitionBy(key, "_island").orderBy(*order)) - F.when(F.col("_island") == 0, 0).otherwise(1))
     stops = F.sum(F.when(F.col("_run") >= runs, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return out.withColumn("_done", F.coalesce(stops, F.lit(0))).where("_done = 0").drop("_island", "_run", "_done")
 
@@ -47,43 +48,58 @@ def page_features(html: Column) -> Column:
     return F.array(*[F.regexp_count(html, F.lit(p)).cast("long") for p in ("<div", "<a ", "<p", "<form", "<input", "<script", "<table", "<img", "<li")])
 
 
+# Weights of tags in a page's embedding, and the attributes that name a node.
+TAG_WEIGHTS = {"title": 2.0, "h1": 1.8, "h2": 1.6, "h3": 1.4, "form": 1.5, "input": 1.3, "button": 1.3, "a": 1.2, "div": 1.0, "span": 1.0, "p": 1.0}
+NODE_ATTRIBUTES = ("id", "class", "name", "type", "href", "src")
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class _Tree(HTMLParser):
-    # Weights of tags in a page's embedding.
-    WEIGHTS = {"form": 3.0, "input": 2.5, "button": 2.0, "table": 2.0, "nav": 1.5, "a": 1.2, "script": 0.5, "style": 0.3}
+    """A page's nodes: (depth, tag, attributes, text of all below, up to 50 bytes)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.vector, self.tag = 0, np.zeros(DIMS), ""
-
-    def _add(self, text: str, tag: str) -> None:
-        h = 0xCBF29CE484222325
-        for b in text.encode():
-            h = (h ^ b) * 0x100000001B3 % 2**64
-        self.vector[h % DIMS] += 1.5 ** min(self.depth, 12) * self.WEIGHTS.get(tag, 1.0)
+        self.open: list[list] = []
+        self.nodes: list[list] = []
 
     def handle_starttag(self, tag, attrs):
-        self.tag = tag
-        self._add(tag, tag)
-        self.depth += tag not in ("br", "img", "input", "meta", "link", "hr")
+        own = dict(attrs)
+        node = [len(self.open), tag, [f"{k}={own[k]}" for k in NODE_ATTRIBUTES if own.get(k)], ""]
+        self.nodes.append(node)
+        if tag not in VOID:
+            self.open.append(node)
 
     def handle_endtag(self, tag):
-        self.depth = max(0, self.depth - 1)
+        if any(n[1] == tag for n in self.open):
+            while self.open.pop()[1] != tag:
+                pass
 
     def handle_data(self, data):
-        if data.strip():
-            self._add(" ".join(data.split())[:50], self.tag)
+        for node in self.open:
+            if len(node[3]) < 50:  # what stands at the front after the blanks is enough
+                node[3] = (node[3] + data).lstrip()[:60]
+
+
+def embed(html: str | None) -> np.ndarray:
+    """Every node as one string (tag, attributes, text) is hashed by FNV-1a; its place is the hash times 1.5 to the
+    depth times the tag's weight, whole, modulo DIMS: in exact arithmetic, not in that of 64 bits, which would put nearly
+    every node into place 0. Of length 1, or all 0 without a node."""
+    tree, vector = _Tree(), np.zeros(DIMS)
+    tree.feed(html or "")
+    tree.close()
+    for depth, tag, named, text in tree.nodes:
+        front = text.strip().encode()[:50]
+        h = 0xCBF29CE484222325
+        for b in "|".join([tag, *named]).encode() + (b"|text=" + front if front else b""):
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        vector[h * 3**depth * round(10 * TAG_WEIGHTS.get(tag, 1.0)) // (2**depth * 10) % DIMS] += 1.0
+    n = np.sqrt((vector**2).sum())
+    return vector / n if n else vector
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def page_embedding(html: pd.Series) -> pd.Series:
-    """A page's nodes hashed into DIMS places, weighted by depth and tag, of length 1 (or all 0)."""
-    def one(text) -> list[float]:
-        t = _Tree()
-        t.feed(text or "")
-        n = np.sqrt((t.vector**2).sum())
-        return (t.vector / n if n else t.vector).tolist()
-
-    return html.map(one)
+    return html.map(lambda text: embed(text).tolist())
 
 
 # A shard's largest size, how many shards small tables are dealt into, and what single precision may be off by.

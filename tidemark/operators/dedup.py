@@ -32,11 +32,13 @@ def groups(df: DataFrame, key: Column, value: str, samples: int = 5) -> DataFram
     )
 
 
-def capped(df: DataFrame, keys: list[Column], order: list[str], limit: Column) -> DataFrame:
-    """The first ``limit`` rows of each key: rows beyond it don't use it up, so a rank is all it takes."""
+def capped(df: DataFrame, keys: list[Column], order: list[str], limit: Column, most: int | None = None) -> DataFrame:
+    """The first ``limit`` rows of each key: rows beyond it don't use it up, so a rank is all it takes. ``most``: no
+    limit is above it; being a literal, it lets every task drop what can't be among a key's first before the shuffle."""
     named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*order)
-    return named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r", *[f"_k{i}" for i in range(len(keys))])
+    ranked = named.withColumn("_r", F.row_number().over(w))
+    return (ranked if most is None else ranked.where(F.col("_r") <= most)).where(F.col("_r") <= limit).drop("_r", *[f"_k{i}" for i in range(len(keys))])
 
 
 #: Rows kept per pattern, by the pattern's type.

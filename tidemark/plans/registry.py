@@ -179,7 +179,8 @@ VALUES = "SELECT doc_id, unnest(str_split(left(text, 1000000000), ' ')) AS v FRO
 @query(f"SELECT class, count(*) AS n FROM (SELECT {VCLASS} AS class FROM ({VALUES})) GROUP BY class")
 def value_classes(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("v"))
-    return v.select(scores.value_class(F.col("v")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    words = v.groupBy("v").agg(F.count("*").alias("n"))  # each distinct word is classed once
+    return words.groupBy(scores.value_class(F.col("v")).alias("class")).agg(F.sum("n").alias("n"))
 
 
 @query(f"{P}, c AS (SELECT page_id, page_id % 3 AS g, url, {CSCORE} AS s, scheme, hostname, ext FROM k) SELECT page_id, CASE WHEN NOT (hostname='{DOMAIN}' OR hostname LIKE '%.{DOMAIN}') THEN 'degrade' WHEN regexp_matches(url,'#[0-9A-Fa-f]{{3,8}}$') THEN 'reject' WHEN s<30 THEN 'reject' ELSE 'allow' END AS action FROM c")
@@ -241,7 +242,7 @@ def pattern_groups(spark, sf_dir):
 def cap_by_type(spark, sf_dir):
     u = F.col("url")
     r = requests(spark, sf_dir).withColumn("kind", scores.limiter_type(u))
-    return dedup.capped(r, [urls.limiter_pattern(u)], ["ts", "event_id"], dedup.type_limit(F.col("kind"))).select("event_id", "kind")
+    return dedup.capped(r, [urls.limiter_pattern(u)], ["ts", "event_id"], dedup.type_limit(F.col("kind")), max(dedup.TYPE_LIMITS.values())).select("event_id", "kind")
 
 
 _FIRST = "regexp_extract(list_filter(pairs, lambda p: split_part(p,'=',1)=n)[1],'^[^=]*=?(.*)$',1)"

@@ -112,6 +112,40 @@ def canonical(url: Column) -> Column:
     return with_query(F.concat(scheme(url), F.lit("://"), h, clean), kept, "", "&")
 
 
+def clean_path(p: Column) -> Column:
+    """``.`` and empty segments dropped, ``..`` with the segment before it; empty stays empty."""
+    steps = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda done, s: (
+        F.when(s.isin("", "."), done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s))
+    ))
+    return F.when(p == "", p).otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
+
+
+def canonical_form(url: Column) -> Column:
+    """Scheme (``http`` if there is none), host in lower case and ASCII without user and default port, the decoded
+    and cleaned path (``/`` if empty), and the parameters but for tracking ones, sorted by name and value and
+    encoded anew. The fragment is dropped."""
+    own = F.when(scheme(url) == "", "http").otherwise(scheme(url))
+    where = F.regexp_replace(host(url), "^[^@]*@", "")
+    number = F.regexp_extract(where, r":(\d*)$", 1)
+    name = F.regexp_replace(where, r":\d*$", "")
+    name = F.lower(F.when(name.rlike(r"[^\x00-\x7F]"), F.call_function("java_method", F.lit("java.net.IDN"), F.lit("toASCII"), name)).otherwise(name))
+    usual = (number == "") | ((own == "http") & (number == "80")) | ((own == "https") & (number == "443"))
+
+    def decoded(x: Column) -> Column:  # a plus sign in a path is one
+        return F.coalesce(F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")), x)
+
+    way = clean_path(decoded(path(url)))
+    way = F.when(way == "", "/").otherwise(decoded(way))
+
+    def encoded(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.url_encode(x), r"\*", "%2A"), "%7E", "~")
+
+    kept = F.array_sort(F.filter(params(url), lambda p: ~F.lower(p["k"]).isin(TRACKING)))
+    asked = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    front = F.concat(own, F.lit("://"), name, F.when(usual, "").otherwise(F.concat(F.lit(":"), number)), way)
+    return F.when(asked == "", front).otherwise(F.concat(front, F.lit("?"), asked))
+
+
 def without_session(url: Column) -> Column:
     kept = F.array_sort(F.filter(pairs(url), lambda p: ~F.split_part(p, F.lit("="), F.lit(1)).isin(SESSION)))
     return with_query(base(url), kept, "", "&")

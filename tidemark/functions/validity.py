@@ -130,14 +130,6 @@ def first_reason(checks: list[tuple[Column, str]]) -> Column:
     return out.otherwise("")
 
 
-def clean_path(path: Column) -> Column:
-    """``.`` and empty segments dropped, ``..`` with the segment before it; empty stays empty."""
-    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, s: (
-        F.when(s.isin("", "."), done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s))
-    ))
-    return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(steps, "/")))
-
-
 def any_path(url: Column) -> Column:
     """The path of a whole or relative address; empty where a scheme is followed by no path (``mailto:x``)."""
     return (
@@ -281,7 +273,7 @@ def script_beyond_scope(url: Column, base: str, blocked: list[str]) -> Column:
     folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
     address = (
         F.when(url.startswith("//"), F.concat(F.lit(scheme + ":"), url)).when(url.startswith("/"), F.concat(F.lit(f"{scheme}://{own}"), url))
-        .when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit(f"{scheme}://{own}"), clean_path(F.concat(F.lit(f"/{folder}/"), url))))
+        .when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit(f"{scheme}://{own}"), urls.clean_path(F.concat(F.lit(f"/{folder}/"), url))))
     )
     taken = script & ~refused
     return F.struct(taken.alias("taken"), F.when(taken, address).otherwise("").alias("address"))

@@ -61,7 +61,7 @@ _cases("cases_joined_values", "url string", lambda: [urls.joined_values(F.col("u
     ("http://a.com/x?q=a%20b", "a b"),
 ], ["joined"])
 
-_cases("cases_clean_path", "url string", lambda: [validity.clean_path(urls.path(F.col("url")))], [
+_cases("cases_clean_path", "url string", lambda: [urls.clean_path(urls.path(F.col("url")))], [
     ("http://a.com/a/./b/../c", "/a/c"), ("http://a.com/../x", "/x"), ("http://a.com//a//b/", "/a/b"), ("http://a.com/", "/"), ("http://a.com", ""), ("http://a.com/a/..", "/"),
 ], ["path"])
 
@@ -348,3 +348,10 @@ def embedding_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["embedding_cases"] = embedding_cases
 ORACLE["embedding_cases"] = "SELECT * FROM (VALUES (0, 1.0::DOUBLE, 2, 0.894427::DOUBLE), (1, 0.0::DOUBLE, 0, 0.0::DOUBLE), (2, 0.0::DOUBLE, 0, 0.0::DOUBLE)) t(case_id, squares, places, most)"
+
+_cases("cases_canonical_form", "url string", lambda: [urls.canonical_form(F.col("url"))], [
+    ("HTTP://User:pw@EXAMPLE.com:80/a/./b/../c%7e/?b=2&a=1&utm_source=x#f", "http://example.com/a/c~?a=1&b=2"), ("https://example.com:443/", "https://example.com/"),
+    ("https://example.com:8443/x?q=a+b&q=A", "https://example.com:8443/x?q=A&q=a+b"), ("http://[::1]:80/x", "http://[::1]/x"), ("http://[::1]:81/x", "http://[::1]:81/x"),
+    ("https://münchen.de/ü", "https://xn--mnchen-3ya.de/ü"), ("http://a.com/x?REF=1&z=", "http://a.com/x?z="), ("http://a.com/%41+b", "http://a.com/A+b"),
+    ("http://a.com//x//y/", "http://a.com/x/y"), ("http://a.com/?k=%2A~", "http://a.com/?k=%2A~"), ("http://a.com", "http://a.com/"),
+], ["form"])

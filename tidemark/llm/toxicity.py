@@ -262,15 +262,19 @@ class Reader:
 
 def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps; weights ``c`` of the rows."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x1.shape[1])
-    c = c / c.sum()
-    eye = np.eye(len(w)) * ridge
+    size = x.shape[1] + 1
+    w, c = np.zeros(size), c / c.sum()
+    eye = np.eye(size) * ridge
     eye[-1, -1] = 1e-9
     for _ in range(rounds):
-        live = y * (x1 @ w) < 1
-        a = x1[live] * c[live, None]
-        new = np.linalg.solve(a.T @ x1[live] + eye, a.T @ y[live])
+        bend, pull = eye.copy(), np.zeros(size)
+        for at in range(0, len(x), 4096):  # in parts, so that no second copy of all rows is made
+            rows = np.hstack([x[at : at + 4096].astype(float), np.ones((len(x[at : at + 4096]), 1))])
+            live = y[at : at + 4096] * (rows @ w) < 1
+            weighted = rows[live] * c[at : at + 4096][live, None]
+            bend += weighted.T @ rows[live]
+            pull += weighted.T @ y[at : at + 4096][live]
+        new = np.linalg.solve(bend, pull)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tidemark.plans import cases, more, pipelines, registry  # noqa: F401
+from tidemark.plans import cases, cases_whole, more, pipelines, registry  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 

@@ -62,3 +62,38 @@ def test_similar_structures_against_all_pairs(spark, shard):
     got = {(r.a, r.b): r.similarity for r in similarity.similar_structures(signed, shard=shard).collect()}
     assert got.keys() == {(r.a_page_id, r.b_page_id) for r in want}
     assert all(abs(got[r.a_page_id, r.b_page_id] - r.s) < 1e-9 for r in want)
+
+
+def test_leaders_are_those_of_one_pass_in_order(spark):
+    import random
+
+    from tidemark.operators import trees
+
+    rng = random.Random(3)
+    n = 60
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(110)} | {(i, i + 1) for i in range(50, 59)})
+    near = {(a, b) for a, b in pairs}
+    stored, want = [], {}
+    for i in range(n):
+        hit = next((s for s in stored if (s, i) in near), None)
+        want[i] = (i if hit is None else hit, hit is None)
+        if hit is None:
+            stored.append(i)
+    got = trees.leaders(spark.createDataFrame([(i,) for i in range(n)], "id long"), spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["id"]: (r["leader"], r["kept"]) for r in got} == want and len(got) == n
+
+
+def test_leaders_without_pairs_or_pages(spark):
+    from tidemark.operators import trees
+
+    none = spark.createDataFrame([], "a long, b long")
+    assert [tuple(r) for r in trees.leaders(spark.createDataFrame([(4,)], "id long"), none).collect()] == [(4, 4, True)]
+    assert trees.leaders(spark.createDataFrame([], "id long"), none).count() == 0
+
+
+def test_technologies_keep_the_pages_columns_and_headers_in_any_case(spark):
+    from tidemark.operators import technology
+
+    df = spark.createDataFrame([(1, "x", {"SERVER": "nginx/1.2", "server": "Apache"}), (2, None, None)], "name long, html string, headers map<string,string>")
+    got = technology.technologies(df.withColumnRenamed("name", "page_id"), headers="headers").collect()
+    assert [(r["page_id"], r["name"], r["version"]) for r in got] == [(1, "Nginx", "1.2")]

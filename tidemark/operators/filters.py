@@ -66,10 +66,19 @@ def scope(url: Column, o: Options) -> Column:
     return F.when((s != "") & ~s.isin("http", "https"), verdict("reject", "scheme not in scope")).when((h != "") & ~urls.in_domain(h, o.domain), verdict(o.external, "outside scope"))
 
 
+# Endings of pages that programs make.
+DYNAMIC = ["php", "asp", "aspx", "jsp", "do", "action", "htm", "html"]
+
+
 def by_type(url: Column, o: Options) -> Column:
-    ext = urls.extension(url)
+    """By the ending of the path: whatever stands after its last point, a page without one."""
+    ext = F.lower(F.regexp_extract(urls.path(url), r"\.([^.]+)$", 1))
     static = [e for k in ("image", "font", "video", "audio", "document", "archive") for e in scores.EXTENSIONS[k]]
-    return F.when(ext.isin(scores.EXTENSIONS["javascript"]), verdict("allow", "js", 85)).when(ext.isin(scores.EXTENSIONS["css"]), verdict(o.css, "css", 50)).when(ext.isin(static), verdict(o.static, "static", 20))
+    return (
+        F.when(ext == "", verdict("allow", "page", 80)).when(ext.isin(scores.EXTENSIONS["javascript"]), verdict("allow", "js", 85))
+        .when(ext.isin(scores.EXTENSIONS["css"]), verdict(o.css, "css", 50)).when(ext.isin(static), verdict(o.static, "static", 20))
+        .when(ext.isin(DYNAMIC), verdict("allow", "dynamic", 90)).otherwise(verdict("allow", "unknown", 70))
+    )
 
 
 def api_only(url: Column, o: Options) -> Column:

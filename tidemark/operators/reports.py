@@ -118,3 +118,76 @@ def shares(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"n{i}").alias("n")) for i, k in enumerate(flags)])
     out = one.select("total", F.explode(each).alias("x"))
     return out.select("x.name", "total", "x.n", F.round(F.when(F.col("total") > 0, F.col("x.n") / F.col("total")).otherwise(0.0), 6).alias("share"))
+
+
+# Weights of the parts of an address's priority before anything was learnt.
+WEIGHTS = {"depth": 3.0, "internal": 2.0, "params": 1.5, "path_value": 4.0}
+
+
+def page_worth(links: Column, apis: Column, forms: Column, status: Column) -> Column:
+    """What a fetched page was worth, 0 to 100, by what was found on it and its status."""
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), (
+        50.0 + F.when(apis > 0, 20.0).otherwise(0.0) + F.when(forms > 0, 15.0).otherwise(0.0)
+        + F.when(links > 10, 10.0).when(links > 5, 5.0).otherwise(0.0) + F.when(status == 200, 5.0).when(status >= 400, -20.0).otherwise(0.0)
+    )))
+
+
+def learned_weights(results: DataFrame, layer: str = "layer", rate: float = 0.15, start: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(layer, pages, high_rate, low_rate, api_rate, success_rate, changed, depth, internal, params, path_value): the weights
+    after every layer. ``results``: layer, links, apis, forms, status. All rates are over the pages so far. Weights are
+    changed after layers that end at a multiple of 50 pages, where few pages were of high worth, many of low worth, or
+    APIs are found often. One row a layer is left before the window, so it may be unpartitioned."""
+    worth = page_worth(F.col("links"), F.col("apis"), F.col("forms"), F.col("status"))
+    per = results.groupBy(layer).agg(
+        F.count("*").alias("n"), F.count_if(worth >= 80).alias("high"), F.count_if(worth < 50).alias("low"),
+        F.sum("apis").alias("found"), F.count_if(F.col("status").between(200, 299)).alias("good"),
+    )
+    w = Window.orderBy(layer).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(w)
+    so_far = per.select(layer, total.alias("pages"), *[(F.sum(c).over(w) / total).alias(a) for c, a in (("high", "high_rate"), ("low", "low_rate"), ("found", "api_rate"), ("good", "success_rate"))])
+    few, many, apis = F.col("high_rate") < 0.2, F.col("low_rate") > 0.5, F.col("api_rate") > 0.3
+    changed = so_far.withColumn("changed", (F.col("pages") >= 20) & (F.col("pages") % 50 == 0) & (few | many | apis))
+    factors = {"depth": (many, 1 - rate * 0.5), "internal": (F.col("success_rate") < 0.7, 1 + rate * 0.8), "params": (apis, 1 + rate), "path_value": (few, 1 + rate)}
+    grown = [(F.lit(start[k]) * F.product(F.when(F.col("changed") & c, f).otherwise(1.0)).over(w)).alias(k) for k, (c, f) in factors.items()]
+    return changed.select(*changed.columns, *grown)
+
+
+def captured_requests(log: DataFrame, domain: str = "", refused: list[str] = (), url: str = "url") -> DataFrame:
+    """The requests of a proxy's log whose host contains ``domain`` and whose address contains none of ``refused``;
+    without a domain, all."""
+    if not domain:
+        return log
+    u = F.col(url)
+    host = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+    keep = F.contains(host, F.lit(domain))
+    for x in refused:
+        keep = keep & ~F.contains(u, F.lit(x))
+    return log.where(keep)
+
+
+def capture_counts(log: DataFrame, host: Column, method: Column) -> DataFrame:
+    """(host, method, n): requests by host, by method and in all, nulls where not counted by."""
+    named = log.select(host.alias("host"), method.alias("method"))
+    return named.groupingSets([["host"], ["method"], []], "host", "method").agg(F.count("*").alias("n"))
+
+
+def with_state(addresses: DataFrame, visited: DataFrame, failed: DataFrame, key: str = "url") -> DataFrame:
+    """(key, state): every distinct address as visited, failed or pending; what was visited has not failed."""
+    done = visited.select(key).distinct().withColumn("_v", F.lit(True))
+    bad = failed.select(key).distinct().withColumn("_f", F.lit(True))
+    every = addresses.select(key).unionByName(visited.select(key)).unionByName(failed.select(key)).where(F.col(key).isNotNull()).distinct()
+    state = F.when(F.col("_v"), "visited").when(F.col("_f"), "failed").otherwise("pending")
+    return every.join(done, key, "left").join(bad, key, "left").select(key, state.alias("state"))
+
+
+def progress(states: DataFrame) -> DataFrame:
+    """One row: visited, failed, pending and the percentage visited of all; 0 without addresses."""
+    counted = states.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("visited", "failed", "pending")])
+    total = F.col("visited") + F.col("failed") + F.col("pending")
+    return counted.withColumn("percent", F.round(F.when(total > 0, F.col("visited") / total * 100).otherwise(0.0), 2))
+
+
+def findings(tagged: Column) -> Column:
+    """struct(kind, url) of a finding written as ``KIND: url``; without a kind, it is empty."""
+    kind = F.regexp_extract(tagged, r"^([A-Z_]+): ", 1)
+    return F.struct(kind.alias("kind"), F.when(kind == "", tagged).otherwise(F.regexp_replace(tagged, r"^[A-Z_]+: ", "")).alias("url"))

@@ -57,6 +57,24 @@ def scope_reason(url: Column, o: ScopeOptions) -> Column:
     return out.when(F.size(urls.sorted_keys(url)) > o.max_parameters, "parameters")
 
 
+# What the prepared scopes take and leave.
+SCOPES = {
+    "api": {"prefixes": ("/api/", "/v1/", "/v2/"), "excluded_extensions": ("jpg", "png", "gif", "css", "js")},
+    "admin": {"prefixes": ("/admin/", "/manage/", "/backend/"), "excluded_parts": ("/logout", "/signout")},
+    "static": {
+        "excluded_extensions": (
+            "jpg", "jpeg", "png", "gif", "svg", "ico", "webp", "css", "less", "sass", "scss", "woff", "woff2", "ttf", "eot", "otf",
+            "mp4", "mp3", "avi", "mov", "pdf", "doc", "docx", "xls", "xlsx", "zip", "rar", "tar", "gz",
+        ),
+    },
+}
+
+
+def prepared_scope(name: str, domain: str) -> ScopeOptions:
+    """The options of a prepared scope (``api``, ``admin``, ``static``) for a domain."""
+    return ScopeOptions(domain=domain, **SCOPES[name])
+
+
 def value_pattern(url: Column) -> Column:
     """Sorted names, each with ``{num}`` for numbers, ``{multi}`` where it stands more than once, else ``{value}``."""
     own = urls.pairs(url)

@@ -13,7 +13,7 @@ from tidemark.plans import more, registry  # noqa: F401
 
 @pytest.mark.parametrize("shard", [9, 10_000])
 def test_best_match_of_all_pages(spark, sf_dir, shard):
-    pages = registry.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), responses.page_embedding("html").alias("v")).localCheckpoint()
+    pages = registry.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), responses.page_embedding("html").alias("v")).checkpoint()
     pages = pages.unionByName(pages.where("id < 9 or id = 40").selectExpr("id + 1000 as id", "v"))  # exact copies: ties
     rows = {r.id: np.array(r.v) for r in pages.collect()}
     got = {r.id: (r.cosine, r.other) for r in responses.best_match(pages, shard).collect()}
@@ -52,7 +52,7 @@ def test_similar_structures_against_all_pairs(spark, shard):
             t[random.randrange(len(t))] = random.choice(kinds)
         rows.append((i, "".join(f"<{x}>" for x in t + ["b"] * random.randrange(6))))
     rows += [(100, rows[0][1]), (101, ""), (102, "<a>" * 300), (103, "<a>" * 280)]
-    signed = similarity.signatures(spark.createDataFrame(rows, "page_id long, html string")).localCheckpoint()
+    signed = similarity.signatures(spark.createDataFrame(rows, "page_id long, html string")).checkpoint()
     reps = signed.groupBy("struct_hash").agg(F.min_by(F.struct("page_id", "tags", "simhash", "counts", "n"), "page_id").alias("r")).select("r.*")
     a, b = (reps.select(*[F.col(c).alias(f"{p}_{c}") for c in reps.columns]) for p in "ab")
     score = similarity.sequence_similarity("a_tags", "b_tags") + similarity.hamming_similarity(F.col("a_simhash"), F.col("b_simhash")) + F.try_divide(F.least("a_n", "b_n"), F.greatest("a_n", "b_n")) + similarity.cosine(F.col("a_counts"), F.col("b_counts"))

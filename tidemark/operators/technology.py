@@ -139,9 +139,9 @@ def detected(html: Column, headers: Column | None = None, url: Column | None = N
     ``headers``: map<string,string>, names in any case; null or missing parts match nothing."""
     none = F.create_map().cast("map<string,string>")
     given = none if headers is None else F.coalesce(F.map_from_entries(
-        # of names that differ in case only, the first counts
+        # of names that differ in case only, the first by code point counts, as a map has no order
         F.transform(F.array_distinct(F.transform(F.map_keys(headers), F.lower)), lambda k: F.struct(
-            k.alias("key"), F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == k), F.lit(0))["value"].alias("value")))), none)
+            k.alias("key"), F.array_min(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == k))["value"].alias("value")))), none)
     text = F.coalesce(html, F.lit(""))
     rules = [r for r in rules if r.headers or r.html or r.metas or r.cookies or r.scripts or r.paths and url is not None]
     return F.filter(F.array(*[_found(r, text, given, url) for r in rules]), lambda t: t["confidence"] >= LEAST)
